@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import mixing, percentiles
-from sievework.session import table
+from sievework.llm import mixing, neighbours, percentiles, splitting
+from sievework.session import cut, small, table
 
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
 #: Relative error of percentiles combined from partial counts.
@@ -35,6 +36,71 @@ def p1_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.combined_percentiles(days, ["category"], PERCENTILES, ERROR)
 
 
+LIMITS = splitting.Limits(lines=200, bytes=24_576, overlap=10)
+
+
+def _over(content: str) -> F.Column:
+    """Whether a text is over a limit; decided in the JVM, so that only large items reach Python."""
+    lines = F.length(content) - F.length(F.replace(F.col(content), F.lit("\n"), F.lit(""))) + F.when(F.col(content).endswith("\n"), 0).otherwise(1)
+    return (lines > LIMITS.lines) | (F.octet_length(content) > LIMITS.bytes)
+
+
+def chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks").where(_over("content")).select("id", "content", F.coalesce("line_start", F.lit(1)).alias("first"))
+    chunks = chunks.where("id is not null").groupBy("id").agg(F.max(F.struct("first", "content")).alias("r")).select("id", "r.*")
+
+    def cut_up(frames):
+        for f in frames:
+            rows = [(i, n, a + s - 1, a + e - 1, len(t.encode())) for i, a, c in zip(f["id"], f["first"], f["content"], strict=True) for n, (s, e, t) in enumerate(splitting.split(c, LIMITS))]
+            yield pd.DataFrame(rows, columns=["item_id", "piece", "line_start", "line_end", "n_bytes"])
+
+    out = chunks.mapInPandas(cut_up, "item_id string, piece int, line_start int, line_end int, n_bytes long")
+    return out.select(F.lit("chunk").alias("item_type"), "*")
+
+
+def ground_truth_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = table(spark, sf_dir, "benchmark_tasks").select("id", "repo", F.explode("ground_truth").alias("g")).select("id", "repo", "g.file_path", "g.line_start", "g.line_end")
+    item = F.concat_ws(":", "id", "file_path", "line_start", "line_end")
+    over = cut(tasks.where(F.col("line_end") - F.col("line_start") + 1 > LIMITS.lines).withColumn("item_id", item).dropDuplicates(["item_id", "repo"]))
+    files = table(spark, sf_dir, "discovered_files").select("repo", F.col("relative_path").alias("file_path"), "content")
+    texts = files.join(small(over.select("repo", "file_path").distinct()), ["repo", "file_path"], "left_semi").groupBy("repo", "file_path").agg(F.max("content").alias("content"))
+
+    def cut_up(frames):
+        for f in frames:
+            rows = []
+            for i, s, e, c in zip(f["item_id"], f["line_start"], f["line_end"], f["content"], strict=True):
+                rows += [(i, n, a, b, None) for n, (a, b) in enumerate(splitting.split_range(s, e, None if c is None else c.split("\n"), LIMITS))]
+            yield pd.DataFrame(rows, columns=["item_id", "piece", "line_start", "line_end", "n_bytes"])
+
+    joined = over.join(texts, ["repo", "file_path"], "left").select("item_id", "line_start", "line_end", "content")
+    out = joined.mapInPandas(cut_up, "item_id string, piece int, line_start int, line_end int, n_bytes long")
+    return out.select(F.lit("ground_truth").alias("item_type"), "*")
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_pieces(spark, sf_dir).unionByName(ground_truth_pieces(spark, sf_dir))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pieces(spark, sf_dir).where("piece > 0").select("item_type", "item_id").distinct()
+
+
+#: Similarity from which a pair of vectors is a case, and neighbours per vector.
+COSINE, NEIGHBOURS = 0.90, 5
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.top_similar(table(spark, sf_dir, "vectors"), table(spark, sf_dir, "flat_manifest"), NEIGHBOURS, COSINE)
+    return near.select(F.least("rowid", "other").alias("rowid_a"), F.greatest("rowid", "other").alias("rowid_b")).distinct()
+
+
+def p3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar rows of every row whose id is divisible by 20, among all rows."""
+    live = neighbours.live_vectors(table(spark, sf_dir, "vectors"), table(spark, sf_dir, "flat_manifest"))
+    live = cut(live.select("rowid", F.xxhash64("database_id").alias("db"), "vector"))
+    return neighbours.nearest(live.where("rowid % 20 = 0"), live, NEIGHBOURS)
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, chosen = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
     return mixing.report(chosen, p)
@@ -55,6 +121,10 @@ _LATENCIES = """
 QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_combined_days": p1_combined_days,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_nearest": p3_nearest,
     "p8_shares": p8_shares,
     "p8_selection": p8_selection,
 }
@@ -62,4 +132,9 @@ QUERIES = {
 SQL = {
     "p1_percentiles": f"""SELECT category, day, count(*) AS n, {', '.join(f"quantile_cont(latency_ms, {p}) AS {percentiles.name_of(p)}" for p in PERCENTILES)}
         FROM ({_LATENCIES}) GROUP BY category, day""",
+    "p2_found": """
+        SELECT DISTINCT 'chunk' AS item_type, id AS item_id FROM chunks
+        WHERE length(content) - length(replace(content, chr(10), '')) + CASE WHEN content LIKE '%' || chr(10) THEN 0 ELSE 1 END > 200 OR strlen(content) > 24576
+        UNION SELECT DISTINCT 'ground_truth', id || ':' || g.file_path || ':' || g.line_start || ':' || g.line_end
+        FROM (SELECT id, unnest(ground_truth) AS g FROM benchmark_tasks) WHERE g.line_end - g.line_start + 1 > 200""",
 }
