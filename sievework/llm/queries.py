@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import mixing, neighbours, percentiles, splitting
+from sievework.llm import leakage, mixing, neighbours, percentiles, splitting
 from sievework.session import cut, small, table
 
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
@@ -101,6 +101,20 @@ def p3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(live.where("rowid % 20 = 0"), live, NEIGHBOURS)
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leak with its share and its place in the original text."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which test items leaked, and into how many documents."""
+    return p7_leaks(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("share").alias("most"))
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, chosen = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
     return mixing.report(chosen, p)
@@ -125,6 +139,9 @@ QUERIES = {
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_nearest": p3_nearest,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
+    "p7_items": p7_items,
     "p8_shares": p8_shares,
     "p8_selection": p8_selection,
 }
