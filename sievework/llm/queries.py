@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import leakage, mixing, neighbours, percentiles, splitting
+from sievework.llm import leakage, mixing, neighbours, percentiles, splitting, truncation
 from sievework.session import cut, small, table
 
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
@@ -124,6 +124,14 @@ def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.judge(table(spark, sf_dir, "documents")).where("truncated").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.rates(truncation.judge(table(spark, sf_dir, "documents")))
+
+
 _LATENCIES = """
     SELECT coalesce(replace(lower(trim(b.category)), '-', '_'), 'unknown') AS category,
            strftime(t.finished_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, t.latency_ms
@@ -144,6 +152,8 @@ QUERIES = {
     "p7_items": p7_items,
     "p8_shares": p8_shares,
     "p8_selection": p8_selection,
+    "p9_found": p9_found,
+    "p9_rates": p9_rates,
 }
 
 SQL = {
