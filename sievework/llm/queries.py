@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import leakage, mixing, neighbours, percentiles, splitting, truncation
+from sievework.llm import handwritten, leakage, mixing, neighbours, percentiles, splitting, truncation
 from sievework.session import cut, small, table
 
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
@@ -101,6 +101,21 @@ def p3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(live.where("rowid % 20 = 0"), live, NEIGHBOURS)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.found(handwritten.judge(table(spark, sf_dir, "discovered_files")))
+
+
+def p5_searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per search request: files of its repository and language that it may see, with the filter applied."""
+    files = table(spark, sf_dir, "discovered_files")
+    kinds = handwritten.judge(files).select("file_id", F.expr("generated or minified or vendored or blob").alias("not_written"))
+    one = files.groupBy("file_id").agg(F.max("repo").alias("repo"), F.lower(F.max("language")).alias("language")).join(kinds, "file_id")
+    sums = one.groupBy("repo", "language").agg(F.count("*").alias("all_files"), F.count_if(~F.col("not_written")).alias("written"))
+    asked = table(spark, sf_dir, "search_requests").select("request_id", "repo", F.lower("lang").alias("lang"), F.coalesce("include_generated", F.lit(False)).alias("with_generated"))
+    seen = asked.join(sums, "repo", "left").where(F.col("lang").isNull() | (F.col("lang") == F.col("language")))
+    return seen.groupBy("request_id", "with_generated").agg(F.sum("all_files").alias("files"), F.sum(F.when(F.col("with_generated"), F.col("all_files")).otherwise(F.col("written"))).alias("visible"))
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each leak with its share and its place in the original text."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -147,6 +162,8 @@ QUERIES = {
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_nearest": p3_nearest,
+    "p5_found": p5_found,
+    "p5_searchable": p5_searchable,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p7_items": p7_items,

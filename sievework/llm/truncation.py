@@ -252,7 +252,8 @@ def judge(documents: DataFrame) -> DataFrame:
         .join(known, "word", "left")
     )
     unknown = (F.col("word") != "") & F.col("word_texts").isNull()
-    signed = F.coalesce("sign_texts", F.lit(0)) >= SIGNATURE_TEXTS
+    # a recurring line, or up to three words that open in lower case, a dash or a bracket: no sentence begins so
+    signed = (F.coalesce("sign_texts", F.lit(0)) >= SIGNATURE_TEXTS) | F.col("closing").rlike(r"^(\p{Ll}+[.!]?( \p{L}+){0,2}|[-–—]{1,2} ?\p{L}{1,12}|\([^()]*\))$") & ~unknown
     bare = F.col("closing").rlike(r"^\p{Lu}\p{Ll}+( \p{L}+){2,} \p{L}{3,}$") & ~unknown & ~F.col("word").isin(*sorted(DANGLING))
     late_title = (F.col("head") == "") & (F.col("title_texts").isNotNull() | bare & (F.col("title_rate") >= TITLE_SHARE))
     cut_off = (
