@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import handwritten, leakage, mixing, neighbours, percentiles, splitting, truncation
+from sievework.llm.syntax import operator as syntax
 from sievework.session import cut, small, table
 
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
@@ -116,6 +117,22 @@ def p5_searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.groupBy("request_id", "with_generated").agg(F.sum("all_files").alias("files"), F.sum(F.when(F.col("with_generated"), F.col("all_files")).otherwise(F.col("written"))).alias("visible"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.check(table(spark, sf_dir, "discovered_files")).where("flawed").select("file_id").distinct()
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.rates(syntax.check(table(spark, sf_dir, "discovered_files")))
+
+
+def p6_missed_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flawed files that the indexer took for sound, with what the repair says of them."""
+    files = table(spark, sf_dir, "discovered_files").groupBy("file_id").agg(F.max("relative_path").alias("file_path"))
+    flawed = syntax.check(table(spark, sf_dir, "discovered_files")).where("flawed").join(files, "file_id")
+    states = table(spark, sf_dir, "file_index_state").where("status = 'indexed' and not coalesce(tree_has_error, false)").select("repo", "file_path").distinct()
+    return flawed.join(states, ["repo", "file_path"], "left_semi").select("repo", "file_path", "extension", "cost", "reason", "place")
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each leak with its share and its place in the original text."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -164,6 +181,9 @@ QUERIES = {
     "p3_nearest": p3_nearest,
     "p5_found": p5_found,
     "p5_searchable": p5_searchable,
+    "p6_found": p6_found,
+    "p6_rates": p6_rates,
+    "p6_missed_by_index": p6_missed_by_index,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p7_items": p7_items,
