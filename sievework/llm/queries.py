@@ -98,7 +98,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar rows of every row whose id is divisible by 20, among all rows."""
     live = neighbours.live_vectors(table(spark, sf_dir, "vectors"), table(spark, sf_dir, "flat_manifest"))
-    live = cut(live.select("rowid", F.xxhash64("database_id").alias("db"), "vector"))
+    live = cut(live)
     return neighbours.nearest(live.where("rowid % 20 = 0"), live, NEIGHBOURS)
 
 
