@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sievework.plans import problems
+from sievework.plans import index, problems
 
-FLAGSHIP = "p4_found"
-MODULES = (problems,)
+FLAGSHIP = "search_ranked"
+MODULES = (problems, index)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
