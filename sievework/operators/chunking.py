@@ -11,6 +11,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,18 +22,18 @@ MAX_LINES, WINDOW, OVERLAP = 200, 50, 10
 CHUNKS = "id string, repo string, file_path string, line_start int, line_end int, content string, language string, symbol_type string, symbol_name string, part_index int"
 WHOLE_FILE = frozenset({"toml", "yaml", "json", "ini", "dockerfile", "makefile"})
 
-_MOD = r"(?:(?:export|default|public|private|protected|internal|static|final|abstract|async|unsafe|const|extern|inline|pub(?:\([^)]*\))?)\s+)*"
+_MOD = r"(?:(?:export|default|public|private|protected|internal|static|final|abstract|async|unsafe|const|extern|inline|pub(?:\([^)\n]*\))?)[ \t]+)*"
 #: Heads of definitions by language: (pattern with the name as group 1, kind).
 HEADS = {
-    "rust": [(rf"^\s*{_MOD}fn\s+(\w+)", "function"), (rf"^\s*{_MOD}struct\s+(\w+)", "struct"), (rf"^\s*{_MOD}enum\s+(\w+)", "enum"), (rf"^\s*{_MOD}trait\s+(\w+)", "trait"), (r"^\s*impl\b[^{]*?(\w+)\s*(?:<[^{]*>)?\s*\{", "class"), (rf"^\s*{_MOD}mod\s+(\w+)\s*\{{", "module")],
-    "go": [(r"^func\s+(?:\([^)]*\)\s*)?(\w+)", "function"), (r"^type\s+(\w+)\s+struct", "struct"), (r"^type\s+(\w+)\s+interface", "interface")],
-    "java": [(rf"^\s*{_MOD}(?:class|record)\s+(\w+)", "class"), (rf"^\s*{_MOD}interface\s+(\w+)", "interface"), (rf"^\s*{_MOD}enum\s+(\w+)", "enum"), (rf"^\s+{_MOD}[\w<>\[\], .]+\s+(\w+)\s*\([^;{{]*\)[^;{{]*\{{", "method")],
-    "javascript": [(rf"^\s*{_MOD}function\*?\s+(\w+)", "function"), (rf"^\s*{_MOD}class\s+(\w+)", "class"), (rf"^\s*{_MOD}(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)[^=\n]*=>", "function"), (r"^\s*(?:export\s+)?(?:interface)\s+(\w+)", "interface"), (r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(\w+)", "enum")],
-    "c": [(r"^(?!\s*(?:if|for|while|switch|return|else)\b)[\w\s*]*?\b(\w+)\s*\([^;{}]*\)\s*\{", "function"), (r"^\s*(?:typedef\s+)?struct\s+(\w+)\s*\{", "struct"), (r"^\s*enum\s+(\w+)\s*\{", "enum")],
+    "rust": [(rf"^[ \t]*{_MOD}fn[ \t]+(\w+)", "function"), (rf"^[ \t]*{_MOD}struct[ \t]+(\w+)", "struct"), (rf"^[ \t]*{_MOD}enum[ \t]+(\w+)", "enum"), (rf"^[ \t]*{_MOD}trait[ \t]+(\w+)", "trait"), (r"^[ \t]*impl\b[^{\n]*?(\w+)[ \t]*(?:<[^{\n]*>)?[ \t]*\{", "class"), (rf"^[ \t]*{_MOD}mod[ \t]+(\w+)[ \t]*\{{", "module")],
+    "go": [(r"^func[ \t]+(?:\([^)\n]*\)[ \t]*)?(\w+)", "function"), (r"^type[ \t]+(\w+)[ \t]+struct", "struct"), (r"^type[ \t]+(\w+)[ \t]+interface", "interface")],
+    "java": [(rf"^[ \t]*{_MOD}(?:class|record)[ \t]+(\w+)", "class"), (rf"^[ \t]*{_MOD}interface[ \t]+(\w+)", "interface"), (rf"^[ \t]*{_MOD}enum[ \t]+(\w+)", "enum"), (rf"^[ \t]+{_MOD}(?!return\b|new\b|else\b|throw\b)[\w<>\[\], .]+[ \t]+(\w+)[ \t]*\([^;{{}}()]*\)[^;{{}}=]*\{{", "method")],
+    "javascript": [(rf"^[ \t]*{_MOD}function\*?[ \t]+(\w+)", "function"), (rf"^[ \t]*{_MOD}class[ \t]+(\w+)", "class"), (rf"^[ \t]*{_MOD}(?:const|let|var)[ \t]+(\w+)[ \t]*=[ \t]*(?:async[ \t]*)?(?:\([^)\n]*\)|\w+)[^=\n]*=>", "function"), (r"^[ \t]*(?:export[ \t]+)?interface[ \t]+(\w+)", "interface"), (r"^[ \t]*(?:export[ \t]+)?(?:const[ \t]+)?enum[ \t]+(\w+)", "enum")],
+    "c": [(r"^(?![ \t]*(?:if|for|while|switch|return|else)\b)[\w \t*]*?\b(\w+)[ \t]*\([^;{}()]*\)\s*\{", "function"), (r"^[ \t]*(?:typedef[ \t]+)?struct[ \t]+(\w+)\s*\{", "struct"), (r"^[ \t]*enum[ \t]+(\w+)\s*\{", "enum")],
 }
 HEADS["typescript"] = HEADS["javascript"]
 HEADS["cpp"] = HEADS["c"]
-_COMPILED = {k: [(re.compile(p), kind) for p, kind in v] for k, v in HEADS.items()}
+_COMPILED = {k: [(re.compile(p, re.M), kind) for p, kind in v] for k, v in HEADS.items()}
 _SKIP = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])'")
 
 Piece = tuple[int, int, str | None, str | None]  # first line, last line, kind, name
@@ -62,33 +63,33 @@ def python_symbols(text: str) -> list[Piece] | None:
 
 def brace_symbols(text: str, language: str) -> list[Piece]:
     """Definitions whose body is a block; a definition inside a class is a piece of its own, the class is its head."""
-    blank = _SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
-    lines = blank.split("\n")
+    blank = _SKIP.sub(lambda m: re.sub(r"[^\n]", "\x01", m.group()), text)  # no white space: heads must not run over it
+    starts = [0, *(m.end() for m in re.finditer("\n", blank))]
+    line = lambda p: bisect_right(starts, p)
+    opens, close, stack = [], {}, []
+    for m in re.finditer(r"[{}]", blank):
+        if m.group() == "{":
+            opens.append(m.start())
+            stack.append(m.start())
+        elif stack:
+            close[stack.pop()] = m.start()
+    heads = sorted((m.start(1), m.start(), kind, m.group(1)) for head, kind in _COMPILED[language] for m in head.finditer(blank))
     out: list[Piece] = []
-    i = 0
-    while i < len(lines):
-        for head, kind in _COMPILED[language]:
-            m = head.match("\n".join(lines[i : i + 3]))
-            if m and m.start(1) < len(lines[i]) + 1:
-                depth, end, opened = 0, i, False
-                for j in range(i, len(lines)):
-                    for c in lines[j]:
-                        if c == "{":
-                            depth, opened = depth + 1, True
-                        elif c == "}":
-                            depth -= 1
-                    end = j
-                    if opened and depth <= 0 or not opened and lines[j].rstrip().endswith(";"):
-                        break
-                name = m.group(1)
-                nested = kind in ("class", "interface", "trait", "module") and language in ("java", "rust")
-                if nested and end > i:
-                    out.append((i + 1, i + 1, kind, name))
-                else:
-                    out.append((i + 1, end + 1, "method" if kind == "function" and lines[i][:1] in " \t" else kind, name))
-                    i = end
-                break
-        i += 1
+    done = -1
+    for name_at, at, kind, name in heads:
+        if at <= done:
+            continue
+        at += len(blank[at:name_at]) - len(blank[at:name_at].lstrip())
+        body = bisect_left(opens, name_at)
+        body = opens[body] if body < len(opens) else len(blank)
+        ends = blank.find(";", name_at, body)
+        stop = ends if ends >= 0 and kind not in ("class",) else close.get(body, len(blank) - 1)
+        if kind in ("class", "interface", "trait", "module") and language in ("java", "rust") and line(stop) > line(at):
+            out.append((line(at), line(at), kind, name))
+        else:
+            indented = blank[starts[line(at) - 1] : at] != ""
+            out.append((line(at), line(stop), "method" if kind == "function" and indented else kind, name))
+            done = stop
     return out
 
 

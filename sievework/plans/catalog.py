@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sievework.plans import index, problems
+from sievework.plans import index, ingest, problems
 
 FLAGSHIP = "search_ranked"
-MODULES = (problems, index)
+MODULES = (problems, index, ingest)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
