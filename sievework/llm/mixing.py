@@ -135,8 +135,8 @@ def report(selection: DataFrame, plan_df: DataFrame) -> DataFrame:
     """Per source the share reached beside the target."""
     used = selection.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"), F.count("*").alias("texts"), F.max("copies").alias("most_copies"))
     used = plan_df.join(used, "source", "left").fillna(0, ["used", "texts", "most_copies"])
-    return used.withColumn("share", F.col("used") / F.sum("used").over(Window.partitionBy())).select(
-        "source", "target_weight", "share", "tokens", "used", "texts", "max_repeats", "most_copies", (F.col("used") / F.col("tokens")).alias("epochs")
+    return used.withColumn("share", F.try_divide("used", F.sum("used").over(Window.partitionBy()))).select(
+        "source", "target_weight", "share", "tokens", "used", "texts", "max_repeats", "most_copies", F.try_divide("used", "tokens").alias("epochs")
     )
 
 
