@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 import subprocess
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,12 +105,47 @@ def is_binary(content: Column) -> Column:
     return F.contains(F.substring(content, 1, 8192), F.lit(bytes([0])))
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """relative_path, size, modified, content of all regular files below a root; nothing is filtered yet."""
+TREE = "relative_path string, size long, modified timestamp, content binary"
+
+
+def read_tree(spark: SparkSession, root: str, most: int = MAX_BYTES) -> DataFrame:
+    """relative_path, size, modified, content of all regular files below a root; links are not followed.
+
+    Spark's own file sources skip names that start with an underscore or a dot, which source trees
+    are full of, so folders are listed and read by tasks: one row per folder of the two upper
+    levels. Files over ``most`` bytes keep their size but are not read.
+    """
     full = os.path.abspath(root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{full}")
-    relative = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/*" + re.escape(full.lstrip("/")) + "/", "")
-    return files.select(relative.alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    if not os.path.isdir(full):
+        raise FileNotFoundError(full)
+    seeds = [("", False)]
+    for first in os.scandir(full):
+        if first.is_dir(follow_symlinks=False):
+            seeds.append((first.name, False))
+            seeds += [(f"{first.name}/{x.name}", True) for x in os.scandir(first.path) if x.is_dir(follow_symlinks=False)]
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for folder, deep in zip(f["folder"], f["deep"], strict=True):
+                rows = []
+                for base, folders, names in os.walk(os.path.join(full, folder)):
+                    if not deep:
+                        folders.clear()
+                    for n in names:
+                        p = os.path.join(base, n)
+                        if os.path.islink(p) or not os.path.isfile(p):
+                            continue
+                        info = os.stat(p)
+                        body = b""
+                        if info.st_size <= most:
+                            with open(p, "rb") as file:
+                                body = file.read()
+                        rows.append((os.path.relpath(p, full).replace(os.sep, "/"), info.st_size, pd.Timestamp(int(info.st_mtime * 1e6), unit="us", tz="UTC"), body))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["relative_path", "size", "modified", "content"])
+
+    listed = spark.createDataFrame(sorted(seeds), "folder string, deep boolean").repartition(max(1, min(len(seeds), spark.sparkContext.defaultParallelism * 4)))
+    return listed.mapInPandas(read, TREE)
 
 
 def decide(files: DataFrame, rules: list[Rule], max_bytes: int = MAX_BYTES, default_excludes: bool = True) -> DataFrame:
@@ -133,7 +170,7 @@ def decide(files: DataFrame, rules: list[Rule], max_bytes: int = MAX_BYTES, defa
 def discover(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, default_excludes: bool = True, use_ignore: bool = True) -> DataFrame:
     """relative_path, size, language, content (text), content_hash of the files to index."""
     rules = ignore_rules(root) if use_ignore else []
-    kept = decide(read_tree(spark, root), rules, max_bytes, default_excludes).where("decision = 'index'")
+    kept = decide(read_tree(spark, root, max_bytes), rules, max_bytes, default_excludes).where("decision = 'index'")
     content = F.make_valid_utf8(F.col("content").cast("string"))
     return kept.select("relative_path", "size", "modified", t.detect_language(F.col("relative_path")).alias("language"), content.alias("content"), F.sha2("content", 256).alias("content_hash"))
 
