@@ -267,6 +267,17 @@ def test_damaged_files_are_flagged(language):
     assert syntax.judge_text(language, "Some words (of prose) follow here, and that's all.\n")[0] > 0
 
 
+@pytest.mark.parametrize(
+    ("language", "text"),
+    [
+        ("json", '{"a": {"b": [\n<<<<<<< x\n1,\n=======\n2,\n>>>>>>> y\n3]}}'), ("java", "class A { int f() { if (a) { b();\n=======\n c();\n>>>>>>> y\n } return 1; } }"), ("js", "f(() => { if (a) { b(1 2); } });"),
+        ("go", "package a\nfunc f() {\n\tif x {\n<<<<<<< HEAD\n\t\ty()\n=======\n>>>>>>> z\n\t}\n}\n"), ("py", "x = [f(1 2)]\n"), ("c", "int f() { while (1) { if (x) { y(; } } }"), ("rs", "fn f() { loop { if x { y z; } } }"), ("ts", "class A { f() { if (a) { let b c; } } }"),
+    ],
+)
+def test_flaws_deep_inside_are_found(language, text):
+    assert syntax.judge_text(language, text)[0] > 0
+
+
 def test_markers_in_comments_are_no_errors():
     assert syntax.judge_text("js", "/** x\n * <<<<<<< left\n=======\n * y\n>>>>>>> right */\nf();\n")[0] == 0
     assert syntax.judge_text("py", '"""\n<<<<<<< a\n=======\n"""\n')[0] == 0
