@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sievework.functions import text as t
 from sievework.session import small
@@ -94,19 +97,70 @@ def hash_embedding(dim: int = 64):
     return embed
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
+QUERY_BLOCK = 8_192
+#: Candidates kept beyond k while distances come from products; the kept ones are compared exactly.
+SPARE = 8
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, groups: Sequence[str] = ("repo",)) -> DataFrame:
     """query_id, id, score, rank: exact nearest neighbours within a group; score is 1 / (1 + distance).
 
     Filters belong in front of this call: they are applied before the ranking, so they never starve k.
+    Queries are taken in blocks of at most QUERY_BLOCK, each sent to the workers once; every task
+    multiplies its vectors with the queries of their group and keeps a few rows per query, so no pair
+    of rows is ever materialised and a group of any size stays spread over its partitions.
     """
-    q = queries.select("query_id", *groups, F.col("vector").alias("query_vector"))
-    hits = vectors.join(q, list(groups)).where(F.size("vector") == F.size("query_vector"))
-    score = 1 / (1 + F.sqrt(squared_distance(F.col("vector"), F.col("query_vector"))))
-    return top(hits.select("query_id", "id", score.alias("score")), ["query_id"], k)
+    known = [F.col(g).isNotNull() for g in groups]
+    inside = lambda df: reduce(lambda x, y: x & y, known, F.col("vector").isNotNull())
+    base = vectors.where(inside(vectors)).select(F.xxhash64(*groups).alias("g"), "id", "vector")
+    asked = queries.where(inside(queries)).select("query_id", F.xxhash64(*groups).alias("g"), "vector")
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(vectors.dtypes)['id']}, score double"
+    parts = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = None
+    for b in range(parts):
+        block: dict[tuple[int, int], tuple[list, list]] = {}
+        for r in asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == b).toLocalIterator():
+            at = block.setdefault((r.g, len(r.vector)), ([], []))
+            at[0].append(r.query_id)
+            at[1].append(r.vector)
+        sent = vectors.sparkSession.sparkContext.broadcast({key: (ids, np.array(x, np.float64)) for key, (ids, x) in block.items()})
+        part = base.mapInArrow(_scanner(sent, k, to_arrow_type(queries.schema["query_id"].dataType)), kinds)
+        found = part if found is None else found.unionByName(part)
+    return top(found, ["query_id"], k)
+
+
+def _scanner(sent, k: int, query_type: pa.DataType):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        kind = None
+        for batch in batches:
+            column, ids, g = batch.column("vector"), batch.column("id"), batch.column("g").to_numpy()
+            kind = ids.type
+            names = np.array(ids.to_pylist(), dtype=object)
+            sizes = np.diff(column.offsets.to_numpy())
+            for group, dim in {(int(a), int(n)) for a, n in zip(g, sizes, strict=True)} & set(sent.value):
+                rows = np.flatnonzero((g == group) & (sizes == dim))
+                x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
+                q = sent.value[group, dim][1]
+                keep = min(k + SPARE, len(rows))
+                old_d, old_i = best.get((group, dim), (np.empty((len(q), 0)), np.empty((len(q), 0), object)))
+                new_d, new_i = np.empty((len(q), keep)), np.empty((len(q), keep), object)
+                norms = (x**2).sum(1)
+                for s in range(0, len(q), 512):
+                    part = q[s : s + 512]
+                    near = np.argpartition(norms - 2 * part @ x.T, keep - 1, axis=1)[:, :keep]
+                    new_d[s : s + 512] = np.sqrt(((x[near] - part[:, None, :]) ** 2).sum(2))
+                    new_i[s : s + 512] = names[rows[near]]
+                d, i = np.concatenate([old_d, new_d], 1), np.concatenate([old_i, new_i], 1)
+                if d.shape[1] > k + SPARE:
+                    top_at = np.argpartition(d, k + SPARE - 1, axis=1)[:, : k + SPARE]
+                    d, i = np.take_along_axis(d, top_at, 1), np.take_along_axis(i, top_at, 1)
+                best[group, dim] = d, i
+        for key, (d, i) in best.items():
+            owner = [x for x in sent.value[key][0] for _ in range(d.shape[1])]
+            yield pa.RecordBatch.from_arrays([pa.array(owner, query_type), pa.array(i.ravel().tolist(), kind), pa.array(1 / (1 + d.ravel()))], names=["query_id", "id", "score"])
+
+    return scan
 
 
 def fuse(lists: DataFrame, k: int, rrf_k: float = RRF_K, tie: str = "id") -> DataFrame:
