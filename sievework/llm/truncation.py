@@ -146,8 +146,9 @@ def prose_rest(text: str) -> str:
 def ending(text: str | None) -> tuple[str, str, str]:
     """(form of the end, closing line, last word).
 
-    Forms: whole, mark, broken, open, list, title, closing, code, loose. 'mark', 'broken', 'open' and
-    'loose' are cuts; 'list', 'title', 'code' and 'closing' depend on the baselines.
+    Forms: whole, mark, broken, open, list, short, title, closing, code, loose. 'mark', 'broken', 'open'
+    and 'loose' are cuts; 'list', 'short' (an entry of fewer words than its fellows), 'title', 'code' and
+    'closing' depend on the baselines.
     """
     body = (text or "").rstrip()
     if not body:
@@ -183,7 +184,13 @@ def ending(text: str | None) -> tuple[str, str, str]:
             return "open", "", word
         if word in DANGLING or tail.endswith((",", "-", "/")):
             return "loose", "", word
-        return ("whole" if ENDS.search(tail) else "list"), "", word
+        if ENDS.search(tail):
+            return "whole", "", word
+        if re.search(r"[.!?]\s", re.sub(r"^\s*\d+[.)]", "", tail)):
+            return "loose", "", word  # an entry of sentences stops inside one
+        kind = LIST if LIST.match(tail) else FIELD
+        others = [len(x.split()) for x in lines[:-1] if kind.match(x)]
+        return ("short" if len(others) > 1 and len(tail.split()) < min(others) else "list"), "", word
     if HEADING.match(tail) or HEADING.search(body[-400:]):
         return "whole", closing, word
     rest = prose_rest(outside)
@@ -239,7 +246,7 @@ def judge(documents: DataFrame) -> DataFrame:
     limits = sizes.withColumn("mean", mean).where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_TIMES * F.greatest("mean", F.lit(0.5)))).select("source", "size", F.lit(True).alias("at_limit"))
 
     # last words that occur at no other place
-    asked = texts.where("form in ('list', 'title', 'closing', 'code') and word != ''").select("word").distinct()
+    asked = texts.where("form in ('list', 'short', 'title', 'closing', 'code') and word != ''").select("word").distinct()
     bodies = documents.select(F.regexp_replace("text", r"[^\W_]+\s*$", "").alias("body")).where("body is not null")
     words = bodies.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
     known = words.join(asked, "word", "left_semi").groupBy("word").agg(F.count("*").alias("word_texts"))
@@ -259,8 +266,9 @@ def judge(documents: DataFrame) -> DataFrame:
     cut_off = (
         F.when(F.col("form").isin("mark", "broken", "open", "loose"), True)
         .when(F.col("form") == "closing", ~signed & ~late_title)
-        .when(F.col("form") == "title", unknown | F.coalesce("at_limit", F.lit(False)))
-        .when(F.col("form").isin("list", "code"), unknown & ~F.col("word").rlike("[0-9]") | F.coalesce("at_limit", F.lit(False)))
+        .when(F.col("form") == "title", unknown)
+        .when(F.col("form").isin("list", "code"), unknown & ~F.col("word").rlike("[0-9]"))
+        .when(F.col("form") == "short", unknown & ~F.col("word").rlike("[0-9]") | F.coalesce("at_limit", F.lit(False)))
         .otherwise(False)
     )
     return out.select("doc_id", F.nullif("source", F.lit("")).alias("source"), "form", F.coalesce("at_limit", F.lit(False)).alias("at_limit"), cut_off.alias("truncated"))

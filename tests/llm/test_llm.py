@@ -443,8 +443,10 @@ def test_truncation_baselines(spark):
 
 
 def test_field_limit(spark):
-    rng = random.Random(1)
-    rows = [(i, ("* " + " ".join(rng.choice(["red", "green", "blue"]) + str(i) for _ in range(30)))[:100], "en", "f", 0, 0) for i in range(12)]
-    rows += [(100 + i, "Short text " * (i % 5) + f"{i} here.", "en", "f", 0, 0) for i in range(30)]
-    got = {r.doc_id for r in truncation.judge(spark.createDataFrame(rows, DOCS)).where("truncated").collect()}
-    assert got == set(range(12))
+    """At a field limit, a list entry shorter than its fellows was cut; a complete one ended there by chance."""
+    rows = [(i, f"* red green {100 + i}\n* blue red {100 + i}\n* {'grey' if i < 9 else 'g'}" + (" red pink" if i < 3 else ""), "en", "f", 0, 0) for i in range(9)]
+    rows = [(i, "x" * (60 - len(t)) + "\n" + t, *r) for i, t, *r in rows]
+    rows += [(100 + i, "Short text " * (i % 5) + f"{i} here.", "en", "f", 0, 0) for i in range(30)] + [(200, "Some grey red pink words end here.", "en", "f", 0, 0)]
+    judged = truncation.judge(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id for r in judged if r.truncated} == set(range(3, 9))
+    assert {r.doc_id for r in judged if r.at_limit} == set(range(9))
