@@ -45,7 +45,7 @@ MARK = re.compile(
 BROKEN = re.compile(r"(?:�|&(?:#?\w{0,6})|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|%[0-9A-F]?)$")
 LIST = re.compile(r"\s*(?:[-*+•]|\d{1,3}[.)])\s+\S")
 FIELD = re.compile(r"\s{2,}[\w*]+(?:\s*\([^)]*\))?:\s+\S")
-HEADING = re.compile(r"#{1,6}\s+\S|\S.*\n(?:={3,}|-{3,})$")
+HEADING = re.compile(r"#{1,6}\s+\S|(?:={3,}|-{3,})$")
 STAMPED = re.compile(r"\[?\d{1,4}[-:/.]\d\d(?:[-:/.]\d\d)?")
 SPEAKER = re.compile(r"^[\w.-]{1,24}:\s")
 ENDS = re.compile(r"[.!?。！？:;][\"'»”’)\]*_`]*$|[\"'»”’)\]`]{1,3}$")
@@ -167,7 +167,9 @@ def ending(text: str | None) -> tuple[str, str, str]:
     if fences % 2:
         return "open", "", word
     if tail.strip().startswith("```"):
-        return "whole", "", ""
+        tail = re.sub(r"^\s*```\s*", "", tail)
+        if not fences or not re.search(r"\s", tail):
+            return "whole", "", ""
     lines = body.split("\n")
     if not fences and looks_code(lines):
         rest = code_rest(body)
@@ -191,7 +193,7 @@ def ending(text: str | None) -> tuple[str, str, str]:
         kind = LIST if LIST.match(tail) else FIELD
         others = [len(x.split()) for x in lines[:-1] if kind.match(x)]
         return ("short" if len(others) > 1 and len(tail.split()) < min(others) else "list"), "", word
-    if HEADING.match(tail) or HEADING.search(body[-400:]):
+    if HEADING.match(tail):
         return "whole", closing, word
     rest = prose_rest(outside)
     if rest in ("code", "tag"):
