@@ -80,9 +80,12 @@ def glob_regex(pattern: str) -> str:
     return f"^(?s:{out}{folder})$"
 
 
-def glob_matches(path: Column, patterns: list[str]) -> Column:
-    """Whether a path matches one of the globs; pure folder patterns become prefix tests, which scans can use."""
-    clean = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^\./", "")
+def glob_matches(path: Column, patterns: list[str], stored: bool = True) -> Column:
+    """Whether a path matches one of the globs; pure folder patterns become prefix tests, which scans can use.
+
+    Stored paths are relative with forward slashes; with ``stored=False`` paths of other forms are brought to it first.
+    """
+    clean = path if stored else F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^\./", "")
     parts = []
     for p in patterns:
         q = p.replace("\\", "/").removeprefix("./").rstrip("/")

@@ -10,8 +10,15 @@ from sievework.operators import evaluation, filters, graph, ranking, retrieval,
 from sievework.session import table
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return stats.once(table(spark, d, "chunks"))
+def _chunks(spark: SparkSession, d: str, where=None) -> DataFrame:
+    """Chunks once per id. Rows of one id are copies, so a condition goes in front and reaches the scan."""
+    rows = table(spark, d, "chunks")
+    return stats.once(rows if where is None else rows.where(where))
+
+
+def _delivered(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks as delivered, copies included: for operators whose results are distinct anyway, no shuffle of content."""
+    return table(spark, d, "chunks").where("id is not null")
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
@@ -35,17 +42,17 @@ def query(sql: str | None = None):
 # ---------------------------------------------------------------- filters and predicates
 @query(f"SELECT id FROM {ONCE} WHERE lower(language) = 'rust'")
 def filter_language(s, d):
-    return _chunks(s, d).where(F.lower("language") == "rust").select("id")
+    return _chunks(s, d, F.lower("language") == "rust").select("id")
 
 
 @query(f"SELECT id FROM {ONCE} WHERE regexp_matches(file_path, '^(|.*/)core/(|.*/)[^/]*\\.py$') OR file_path LIKE 'src/storage/%'")
 def filter_glob(s, d):
-    return _chunks(s, d).where(t.glob_matches(F.col("file_path"), ["**/core/**/*.py", "src/storage/**"])).select("id")
+    return _chunks(s, d, t.glob_matches(F.col("file_path"), ["**/core/**/*.py", "src/storage/**"])).select("id")
 
 
 @query(f"SELECT id FROM {ONCE} WHERE file_path LIKE 'packages/web/%'")
 def filter_folder_prefix(s, d):
-    return _chunks(s, d).where(t.glob_matches(F.col("file_path"), ["./packages/web/"])).select("id")
+    return _chunks(s, d, t.glob_matches(F.col("file_path"), ["./packages/web/"])).select("id")
 
 
 @query(f"SELECT c.id FROM {ONCE} c WHERE EXISTS (SELECT 1 FROM file_index_state f WHERE f.status = 'parse_error' AND f.repo = c.repo AND f.file_path = c.file_path)")
@@ -56,7 +63,7 @@ def filter_exact_paths(s, d):
 
 @query(f"SELECT id FROM {ONCE} WHERE lower(symbol_type) IN ('function', 'method')")
 def filter_symbol_type(s, d):
-    return _chunks(s, d).where(filters.symbol_type_is(F.col("symbol_type"), "Method")).select("id")
+    return _chunks(s, d, filters.symbol_type_is(F.col("symbol_type"), "Method")).select("id")
 
 
 def _words_sql(col: str) -> str:
@@ -126,7 +133,7 @@ def scope_visibility(s, d):
     AND {CONTENT_SQL} IN {t.SCOPES["source"]!r}""")
 def filter_all(s, d):
     f = filters.SearchFilters(language="Python", globs=("src/**",), symbol_type="function", scope="source")
-    return _chunks(s, d).where(f.condition()).select("id")
+    return _chunks(s, d, f.condition()).select("id")
 
 
 _PATTERNS = ["src/**", "core", "**/*.rs", "nothing/here"]
@@ -174,7 +181,7 @@ def top_directories(s, d):
 
 @query(f"SELECT symbol_type, count(*) AS chunks FROM {ONCE} WHERE symbol_type IS NOT NULL GROUP BY 1")
 def symbol_types(s, d):
-    return stats.symbol_types(_chunks(s, d))
+    return stats.symbol_types(_chunks(s, d, "symbol_type is not null"))
 
 
 @query(f"SELECT repo, file_path, count(*) AS chunks FROM {ONCE} GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10")
@@ -184,7 +191,7 @@ def hotspots(s, d):
 
 @query(f"SELECT DISTINCT repo, file_path FROM {ONCE} WHERE lower(string_split(regexp_extract(file_path, '[^/]*$'), '.')[1]) IN {t.ENTRY_STEMS!r}")
 def entry_points(s, d):
-    return stats.entry_points(_chunks(s, d))
+    return stats.entry_points(_delivered(s, d))
 
 
 @query(f"SELECT repo, file_path, count(*) AS chunks, max(line_end) AS last_line, min(language) AS language FROM {ONCE} GROUP BY 1, 2")
@@ -202,7 +209,7 @@ def _conventions_sql() -> str:
 
 @query(_conventions_sql())
 def conventions(s, d):
-    return stats.conventions(_chunks(s, d))
+    return stats.conventions(_delivered(s, d))
 
 
 @query("""SELECT repo, count(*) AS files, count(*) FILTER (e.file_path IS NOT NULL) AS with_error FROM file_index_state f
@@ -225,7 +232,7 @@ _PARTS = """list_filter(string_split(lower(CASE WHEN contains(k, '_') THEN k ELS
 
 @query(f"""SELECT id, coalesce(array_to_string(list_sort(list_distinct(list_filter(flatten(list_filter(list_transform(regexp_extract_all(content, '[A-Za-z0-9_]{{4,}}'), lambda k: {_PARTS}), lambda q: len(q) >= 2)), lambda p: len(p) >= 2))), ' '), '') AS parts FROM {ONCE} WHERE content IS NOT NULL""")
 def split_identifiers(s, d):
-    return _chunks(s, d).where("content is not null").select("id", t.split_identifiers(F.col("content")).alias("parts"))
+    return _chunks(s, d, "content is not null").select("id", t.split_identifiers(F.col("content")).alias("parts"))
 
 
 _LOW = "lower(content)"
@@ -236,12 +243,12 @@ _HAS = lambda *w: "(" + " OR ".join(f"contains({_LOW}, '{x}')" for x in w) + ")"
     CASE WHEN {_HAS('if ', ' else', 'match ', 'switch ', 'case ')} THEN 'branches' END, CASE WHEN {_HAS('for ', 'while ', 'loop ', '.iter(', '.map(', '.filter(')} THEN 'loops' END,
     CASE WHEN {_HAS('try', 'catch', 'except', 'raise', 'throw', 'err(', 'result<', 'bail!', 'panic!', 'abort(')} THEN 'error handling' END], lambda x: x IS NOT NULL), ', ') AS hints FROM {ONCE} WHERE content IS NOT NULL""")
 def flow_hints(s, d):
-    return _chunks(s, d).where("content is not null").select("id", t.flow_hints(F.col("content")).alias("hints"))
+    return _chunks(s, d, "content is not null").select("id", t.flow_hints(F.col("content")).alias("hints"))
 
 
 @query(f"SELECT id, CASE WHEN part_index IS NOT NULL THEN symbol_name || ' (part ' || part_index || ')' ELSE symbol_name END AS name FROM {ONCE} WHERE symbol_name IS NOT NULL")
 def display_names(s, d):
-    return _chunks(s, d).where("symbol_name is not null").select("id", t.display_name(F.col("symbol_name"), F.col("part_index")).alias("name"))
+    return _chunks(s, d, "symbol_name is not null").select("id", t.display_name(F.col("symbol_name"), F.col("part_index")).alias("name"))
 
 
 @query(f"SELECT repo, sum(ceil(strlen(content) / 4.0))::BIGINT AS tokens FROM {ONCE} GROUP BY 1")
@@ -312,14 +319,14 @@ def call_qualifiers(s, d):
     WHERE symbol_name IS NOT NULL AND lower(symbol_type) IN ('function', 'method') AND lower(symbol_name) NOT IN {graph.RUNTIME_NAMES!r}
       AND NOT EXISTS (SELECT 1 FROM {EDGES_SQL} e WHERE e.repo = c.repo AND lower(e.callee) = lower(c.symbol_name)) GROUP BY repo, file_path, lower(symbol_name)""")
 def dead_symbols(s, d):
-    c = _chunks(s, d)
+    c = _delivered(s, d)
     return graph.dead_symbols(c, graph.call_edges(c))
 
 
 @query(f"""SELECT repo, file_path, symbol_name, symbol_type, line_start FROM (SELECT *, row_number() OVER (PARTITION BY repo, file_path, lower(symbol_name) ORDER BY line_start NULLS FIRST, id) AS n
     FROM {ONCE} WHERE symbol_name IS NOT NULL) WHERE n = 1""")
 def definitions(s, d):
-    return graph.definitions(_chunks(s, d))
+    return graph.definitions(_delivered(s, d))
 
 
 _LINE_ROWS = f"(SELECT repo, file_path, coalesce(line_start, 1) AS first, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM {ONCE} WHERE content IS NOT NULL)"
@@ -335,33 +342,33 @@ _THROW = r"(?:throw new|raise|return Err\(|errors\.New\()\s*([A-Za-z_]\w*)?"
 
 @query(_match_sql(_THROW, "regexp_extract(text, '{p}', 1) AS g1"))
 def structural_raises(s, d):
-    return graph.matches(_chunks(s, d), _THROW)
+    return graph.matches(_delivered(s, d), _THROW)
 
 
 @query(_match_sql(graph.ENV_READS, "regexp_extract(text, '{p}', 1) AS g1"))
 def structural_env_reads(s, d):
-    return graph.matches(_chunks(s, d), graph.ENV_READS)
+    return graph.matches(_delivered(s, d), graph.ENV_READS)
 
 
 @query(_match_sql(graph.ROUTES, "regexp_extract(text, '{p}', 1) AS g1, regexp_extract(text, '{p}', 2) AS g2"))
 def structural_routes(s, d):
-    return graph.matches(_chunks(s, d), graph.ROUTES, 2)
+    return graph.matches(_delivered(s, d), graph.ROUTES, 2)
 
 
 @query(_match_sql(graph.SQL_SITES, "regexp_extract(text, '{p}', 1) AS g1"))
 def structural_sql_sites(s, d):
-    return graph.matches(_chunks(s, d), graph.SQL_SITES)
+    return graph.matches(_delivered(s, d), graph.SQL_SITES)
 
 
 @query(f"""SELECT repo, file_path, line, owner, target FROM (SELECT *, row_number() OVER (PARTITION BY repo, file_path, lower(owner), lower(target) ORDER BY line) AS k FROM
     ({_match_sql(graph.RELATION, "regexp_extract(text, '{p}', 1) AS owner, regexp_extract(text, '{p}', 2) AS target")})) WHERE k = 1""")
 def type_relations(s, d):
-    return graph.type_relations(_chunks(s, d))
+    return graph.type_relations(_delivered(s, d))
 
 
 @query(f"SELECT repo, file_path, (first + n - 1)::INT AS line, min(text) AS text FROM {_LINE_ROWS} WHERE regexp_matches(text, '(?i)out of range') GROUP BY ALL")
 def regex_search(s, d):
-    return graph.regex_search(_chunks(s, d), "out of range", 2, case_sensitive=False).select("repo", "file_path", "line", "text")
+    return graph.regex_search(_delivered(s, d), "out of range", 2, case_sensitive=False).select("repo", "file_path", "line", "text")
 
 
 @query(f"""WITH p AS ({_match_sql(_THROW, "1 AS x")}), j AS (SELECT p.repo, p.file_path, p.line, c.line_start, c.line_end, c.symbol_name, row_number() OVER (PARTITION BY p.repo, p.file_path, p.line
@@ -369,7 +376,7 @@ def regex_search(s, d):
     FROM p JOIN {ONCE} c ON c.repo = p.repo AND c.file_path = p.file_path AND p.line BETWEEN c.line_start AND c.line_end WHERE c.symbol_name IS NOT NULL OR c.symbol_type IS NOT NULL)
     SELECT repo, file_path, line, line_start, line_end, symbol_name FROM j WHERE k = 1""")
 def enclosing_symbols(s, d):
-    c = _chunks(s, d)
+    c = _delivered(s, d)
     return graph.enclosing(graph.matches(c, _THROW).select("repo", "file_path", "line").distinct(), c)
 
 
@@ -395,11 +402,11 @@ def vector_inventory(s, d):
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
     s AS (SELECT query_id, vec_id AS id, 1 / (1 + sqrt(list_sum(list_transform(range(1, 65), lambda i: power(q[i]::DOUBLE - embedding[i]::DOUBLE, 2))))) AS score FROM q, embeddings)
-    SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")
+    SELECT query_id, id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")
 def nearest_embeddings(s, d):
     """Exact search of every vector whose id is divisible by 20, among all."""
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.lit(1).alias("one"))
-    return retrieval.vector_search(e, e.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 5, groups=("one",))
+    return retrieval.vector_search(e, e.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 5, groups=("one",)).withColumn("score", F.round("score", 9))
 
 
 # ---------------------------------------------------------------- search
