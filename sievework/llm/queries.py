@@ -28,7 +28,9 @@ def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return percentiles.exact_percentiles(latencies(spark, sf_dir), ["category", "day"], "latency_ms", PERCENTILES)
+    exact = percentiles.exact_percentiles(latencies(spark, sf_dir), ["category", "day"], "latency_ms", PERCENTILES)
+    names = [percentiles.name_of(p) for p in PERCENTILES]
+    return exact.withColumns({n: F.round(n, 6) for n in names})  # measured to three decimals; interpolation adds two
 
 
 def p1_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +196,7 @@ QUERIES = {
 }
 
 SQL = {
-    "p1_percentiles": f"""SELECT category, day, count(*) AS n, {', '.join(f"quantile_cont(latency_ms, {p}) AS {percentiles.name_of(p)}" for p in PERCENTILES)}
+    "p1_percentiles": f"""SELECT category, day, count(*) AS n, {', '.join(f"round(quantile_cont(latency_ms, {p}), 6) AS {percentiles.name_of(p)}" for p in PERCENTILES)}
         FROM ({_LATENCIES}) GROUP BY category, day""",
     "p2_found": """
         SELECT DISTINCT 'chunk' AS item_type, id AS item_id FROM chunks

@@ -421,7 +421,7 @@ def test_mixture(spark):
     ("text", "form"),
     [
         ("A sentence.", "whole"), ("A sentence that sto", "title"), ("Two words. And then the", "loose"), ("", "whole"), (None, "whole"), ("   ", "whole"), ("Cut here and th...", "mark"), ("Cut here and […]", "mark"),
-        ("Cut [message clipped]", "mark"), ("Done.\n\n* one item\n* two item", "list"), ("Done.\n\n# Heading", "whole"), ("Title\n=====", "whole"), ("See:\n```\nx\n``` And then the no", "loose"), ("See:\n```\nx\n``` It is done.", "whole"), ("# Heading\n\nDone. And then the no", "loose"), ("See:\n```py\nx = (1)\n```", "whole"), ("See:\n```py\nx = (1", "open"), ("Try `foo.ba", "open"),
+        ("Cut [message clipped]", "mark"), ("Done.\n\n* one item\n* two item", "list"), ("Done.\n\n# Heading", "whole"), ("Title\n=====", "whole"), ("See:\n```\nx\n``` And then the no", "loose"), ("See:\n```\nx\n``` It is done.", "whole"), ("# Heading\n\nIt is all done by now, I think. And then the no", "loose"), ("See:\n```py\nx = (1)\n```", "whole"), ("See:\n```py\nx = (1", "open"), ("Try `foo.ba", "open"),
         ("A broken byte \ufffd", "broken"), ("Text &am", "broken"), ("def f():\n    return 1\n\ndef g():\n    return f(", "open"), ("int f() {\n  return 1;\n}", "code"), ("Fix the parser", "title"), ("Done.\n\nthanks", "closing"),
         ("* item of the", "loose"), ("[10:00:00] INFO a 1\n[10:00:01] INFO b 2", "list"), ("[10:00:00] INFO a 1\n[10:00:01] INF", "loose"), ("Is it so?\n\nbob: and then", "closing"), ("He said <b>so", "open") ,
     ],
