@@ -83,4 +83,4 @@ def by_category(scores: DataFrame, tasks: DataFrame, columns: tuple[str, ...]) -
 def latency(results: DataFrame) -> DataFrame:
     """p50 and p95 by lane, interpolated linearly."""
     ok = results.where("latency_ms > 0 and not isnan(latency_ms)").dropDuplicates(["result_id"])
-    return ok.groupBy("lane").agg(F.percentile("latency_ms", F.lit(0.5)).alias("p50"), F.percentile("latency_ms", F.lit(0.95)).alias("p95"))
+    return ok.groupBy("lane").agg(F.round(F.percentile("latency_ms", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("latency_ms", F.lit(0.95)), 6).alias("p95"))

@@ -526,7 +526,7 @@ def eval_by_category(s, d):
     return evaluation.by_category(scores, tasks, ("recall_1", "recall_5", "recall_10", "mrr", "ndcg"))
 
 
-@query("""SELECT lane, quantile_cont(latency_ms, 0.5) AS p50, quantile_cont(latency_ms, 0.95) AS p95 FROM
+@query("""SELECT lane, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95 FROM
     (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY ingested_at) AS k FROM task_results WHERE latency_ms > 0 AND NOT isnan(latency_ms)) WHERE k = 1 GROUP BY 1""")
 def eval_latency(s, d):
     return evaluation.latency(table(s, d, "task_results"))
