@@ -278,6 +278,13 @@ def test_flaws_deep_inside_are_found(language, text):
     assert syntax.judge_text(language, text)[0] > 0
 
 
+def test_byte_order_marks_and_interpreter_lines():
+    assert syntax.judge_text("js", "\ufeff#!/usr/bin/env node\nf();\n")[0] == 0
+    assert syntax.judge_text("ts", "#!/usr/bin/env node\nlet x: number = 1;\n")[0] == 0
+    assert syntax.judge_text("rs", "#![allow(a)]\nfn f() {}\n")[0] == 0
+    assert syntax.judge_text("json", "\ufeff{}")[0] > 0
+
+
 def test_markers_in_comments_are_no_errors():
     assert syntax.judge_text("js", "/** x\n * <<<<<<< left\n=======\n * y\n>>>>>>> right */\nf();\n")[0] == 0
     assert syntax.judge_text("py", '"""\n<<<<<<< a\n=======\n"""\n')[0] == 0
