@@ -96,7 +96,7 @@ class Engine:
                 raise ValueError(f"unknown intent {intent}")
             if name and intent != "env":
                 raise ValueError(f"{intent} takes no name")
-            rows = graph.matches(chunks, *patterns[intent])
+            rows = graph.matches(chunking.masked(chunks), *patterns[intent])  # not what comments mention
             rows = rows.where(F.lower("g1") == name.lower()) if name else rows
         return rows.orderBy("repo", "file_path").limit(limit)
 

@@ -42,6 +42,17 @@ def stem_files(chunks: DataFrame, queries: DataFrame, most: int = 20) -> DataFra
     return hits.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
 
 
+def concept_files(chunks: DataFrame, queries: DataFrame, files: int = 3, per_file: int = 4) -> DataFrame:
+    """query_id, id: definitions of the few files whose stem holds most words of a query of one to five words, for queries that name no symbol."""
+    words = F.size(F.filter(t.analyze(F.col("query")), lambda w: F.length(w) >= 4))
+    asked = queries.where(words.between(1, 5)).join(exact_symbols(chunks, queries).select("query_id").distinct(), "query_id", "left_anti")
+    near = stem_files(chunks, asked).join(asked.select("query_id", "repo"), "query_id")
+    first = Window.partitionBy("query_id").orderBy("depth", "file_path")
+    near = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= files)
+    defined = chunks.where("symbol_name is not null").select("repo", "file_path", "id", F.coalesce("line_start", F.lit(0)).alias("rank"))
+    return cap_per_file(near.join(defined, ["repo", "file_path"]), per_file).select("query_id", "id")
+
+
 def cap_per_file(ranked: DataFrame, most: int = 4) -> DataFrame:
     """At most so many results of a file for each query, the best ones."""
     w = Window.partitionBy("query_id", "file_path").orderBy("rank")

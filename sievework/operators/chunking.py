@@ -203,16 +203,53 @@ def signature(language: str, content: str) -> str:
     return "\n".join(lines[:3]) + (f"\n[... {len(lines) - 3} more lines]" if len(lines) > 3 else "")
 
 
+def is_data(line: str) -> bool:
+    """Forty bytes or more with at most one word of four letters: numbers, hex, encoded text."""
+    x = line.strip()
+    return len(x.encode()) >= 40 and len(re.findall(r"[^\W\d_]{4,}", x)) <= 1
+
+
+def collapse_data_lines(content: str, least: int = 4) -> str:
+    """Runs of data lines as one short line each; shorter runs stay."""
+    out: list[str] = []
+    run: list[str] = []
+    for x in [*content.split("\n"), None]:
+        if x is not None and is_data(x):
+            run.append(x)
+            continue
+        out += [f"[{len(run)} lines of data]"] if len(run) >= least else run
+        run = []
+        if x is not None:
+            out.append(x)
+    return "\n".join(out)
+
+
+def mask_text(content: str, language: str) -> str:
+    """Comments and strings blanked, line by line, so that patterns meet code only; the inside of strings that a pattern needs is kept by the caller."""
+    if language == "python":
+        keep = re.compile(r"#[^\n]*|(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')")
+    else:
+        keep = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/")
+    return keep.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), content)
+
+
+def masked(chunks: DataFrame) -> DataFrame:
+    """Chunks whose comments are blank."""
+    mask = F.pandas_udf(lambda c, lang: pd.Series([None if x is None else mask_text(x, y or "") for x, y in zip(c, lang, strict=True)]), "string")
+    return chunks.withColumn("content", mask("content", "language"))
+
+
 def embedding_text(chunks: DataFrame) -> DataFrame:
     """id, text: what is embedded of a chunk; absent parts leave no line."""
     from sievework.functions import text as t
 
     part = lambda name, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{name}: "), c))
     sign = F.pandas_udf(lambda a, b: pd.Series([signature(x, y) for x, y in zip(a, b, strict=True)]), "string")
+    collapse = F.pandas_udf(lambda c: pd.Series([collapse_data_lines(x or "") for x in c]), "string")
     content = F.coalesce("content", F.lit(""))
     lines = F.concat_ws(
         "\n", part("Language", F.col("language")), part("Path", F.col("file_path")), part("Filename", t.file_name(F.col("file_path"))), part("Symbol", F.concat_ws(" ", "symbol_type", t.display_name(F.col("symbol_name"), F.col("part_index")))),
-        part("Signature", sign(F.coalesce("language", F.lit("")), content)), part("Flow", t.flow_hints(content)), part("Code", content),
+        part("Signature", sign(F.coalesce("language", F.lit("")), content)), part("Flow", t.flow_hints(content)), part("Code", collapse("content")),
     )
     return chunks.select("id", lines.alias("text"))
 

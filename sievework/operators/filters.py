@@ -60,3 +60,13 @@ def near_misses(paths: DataFrame, patterns: list[str]) -> DataFrame:
     out = one.select(rows.alias("r")).select("r.*")
     hint = F.when((F.col("matches") == 0) & (F.col("near") > 0), F.concat(F.lit("**/"), F.col("pattern"), F.lit("/**")))
     return out.withColumn("suggestion", hint)
+
+
+def relative_pattern(pattern: str, root: str) -> str | None:
+    """An absolute pattern below a root as a relative one; the root itself admits everything; None if it lies elsewhere."""
+    p, r = pattern.replace("\\", "/"), root.replace("\\", "/").rstrip("/")
+    if not p.startswith("/") and not (len(p) > 1 and p[1] == ":"):
+        return pattern
+    if p.rstrip("/") == r:
+        return "**"
+    return p[len(r) + 1 :] if p.startswith(r + "/") else None

@@ -154,6 +154,11 @@ def stem_files(s, d):
     return candidates.stem_files(_chunks(s, d), _requests(s, d))
 
 
+@query()
+def concept_files(s, d):
+    return candidates.concept_files(_chunks(s, d), _requests(s, d))
+
+
 _POOL = "(SELECT repo AS query_id, id, file_path, octet_length(encode(content)) AS n, row_number() OVER (PARTITION BY repo ORDER BY coalesce(line_start, 0), id) AS rank FROM " + ONCE + " WHERE content IS NOT NULL)"
 
 

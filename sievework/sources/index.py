@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import time
 import uuid
 from contextlib import contextmanager
@@ -56,6 +57,18 @@ def publish(tables: dict[str, DataFrame], root: str, meta: dict[str, str] | None
     return version
 
 
+def seed(source: str, target: str) -> str:
+    """A copy of another index's current version to start from, as for a second working tree; an update follows."""
+    with open(os.path.join(source, "CURRENT")) as f:
+        meta = json.load(f)
+    with index_lock(target):
+        shutil.copytree(os.path.join(source, meta["version"]), os.path.join(target, meta["version"]), dirs_exist_ok=True)
+        with open(os.path.join(target, "CURRENT.new"), "w") as f:
+            json.dump(meta, f)
+        os.replace(os.path.join(target, "CURRENT.new"), os.path.join(target, "CURRENT"))
+    return meta["version"]
+
+
 def open_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables of the current version; never creates anything, and refuses another format."""
     with open(os.path.join(root, "CURRENT")) as f:

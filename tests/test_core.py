@@ -275,3 +275,26 @@ def test_embedding_reuse(spark):
 def test_queries_and_sql_are_paired():
     assert set(catalog.SQL) <= set(catalog.QUERIES)
     assert catalog.FLAGSHIP in catalog.QUERIES
+
+
+def test_data_lines_comments_and_patterns():
+    data = "  " + ", ".join("0x%02x" % i for i in range(20))
+    text = "\n".join(["a = [", *[data] * 5, "]", data, data, "end"])
+    assert chunking.collapse_data_lines(text).split("\n") == ["a = [", "[5 lines of data]", "]", data, data, "end"]
+    assert chunking.mask_text("x = 1 # os.environ['A']\ny", "python") == "x = 1 " + " " * 17 + "\ny"
+    assert chunking.mask_text("a(); /* b\n c */ d", "rust") == "a();     \n      d"
+    assert filters.relative_pattern("/w/tree/src/**", "/w/tree/") == "src/**"
+    assert filters.relative_pattern("/w/tree", "/w/tree") == "**" and filters.relative_pattern("/w/other", "/w/tree") is None and filters.relative_pattern("src", "/w") == "src"
+
+
+def test_concept_files_and_seed(spark, tmp_path):
+    from sievework.operators import candidates
+
+    c = spark.createDataFrame([chunk(1, path="src/session_cache.py", name="open"), chunk(2, path="src/other.py", name="Cached"), chunk(3, path="a/b/cache.py", name="drop")], CHUNK)
+    q = spark.createDataFrame([(1, "r", "session cache"), (2, "r", "Cached")], "query_id int, repo string, query string")
+    assert rows(candidates.concept_files(c, q)) == [(1, "1"), (1, "3")]
+    tables = {n: spark.createDataFrame([], s) for n, s in index.SCHEMAS.items()}
+    tables["chunks"] = c
+    index.publish(tables, str(tmp_path / "a"))
+    index.seed(str(tmp_path / "a"), str(tmp_path / "b"))
+    assert index.open_index(spark, str(tmp_path / "b"))["chunks"].count() == 3
