@@ -217,6 +217,7 @@ def analyze(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda t: F.length(t) <= 40)
 
 
+# First words of questions, and words of prose.
 QUESTION_STARTS = ("how", "what", "where", "why", "when", "which", "who", "does", "do", "is", "are", "can", "could", "should", "find", "show", "list", "get")
 PROSE_WORDS = (
     "the", "a", "an", "of", "in", "for", "to", "with", "from", "that", "this", "all", "each", "every", "about", "between", "through", "during", "before", "after", "into",

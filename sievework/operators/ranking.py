@@ -10,6 +10,15 @@ from sievework.functions import text as t
 COHERENCE, DECAY = 0.4, 0.35
 #: Additive penalties by content class: (when the query asks for the class, otherwise).
 ROLE = {"test": (0.0, -0.95), "archive": (0.18, -0.85), "runtime": (0.95, -0.72), "docs": (0.0, -0.95), "example": (0.0, -0.55), "benchmark": (0.0, -0.55), "generated": (-0.18, -0.95)}
+#: Gain and losses: a requested kind of symbol, a version in path and query, configuration files, names of the query in paths and definitions.
+KIND_MATCH, KIND_OTHER = 0.62, -0.55
+VERSION_MATCH, VERSION_OTHER, VERSION_UNASKED = 0.55, -0.34, -0.08
+CONFIG_ROOT = 0.35
+PATH_BOOST, DEFINES_BOOST = 1.0, {"identifier": 3.0, "natural": 1.5}
+KIND_WORDS = ("function", "method", "class", "struct", "enum", "trait", "interface", "module")
+CONFIG_WORDS = ("config", "configuration", "settings", "toml", "yaml", "json", "ini")
+VERSION = r"(?:^|[^a-z0-9])(v[0-9]+)(?:[^a-z0-9]|$)"
+DEFINES = r"(?i)\b(?:def|fn|func|function|class|struct|enum|trait|interface|type|mod|const)\s+"
 BODY_BIAS = {"class": 0.12, "struct": 0.12, "trait": 0.12, "interface": 0.12, "function": 0.08, "method": 0.08, "enum": 0.06, "block": -0.05}
 
 
@@ -50,7 +59,29 @@ def prior(query: Column) -> Column:
     for c, w in BODY_BIAS.items():
         body = F.when(F.lower("symbol_type") == c, w).otherwise(body)
     source = F.when(cls.isin("source", "config"), F.when(t.query_kind(query) == "natural", 0.12 - 0.0 * d).otherwise(0.24) / (1 + d)).otherwise(0.0)
-    return by_path + by_symbol + by_stem + by_cover + role + body + source
+    kind = F.get(F.array_intersect(words, F.array(*[F.lit(k) for k in KIND_WORDS])), F.lit(0))
+    same = F.lower("symbol_type") == kind
+    callable_ = kind.isin("function", "method") & F.lower("symbol_type").isin("function", "method")
+    by_kind = F.when(kind.isNull(), 0.0).when(F.coalesce(same | callable_, F.lit(False)), KIND_MATCH).otherwise(KIND_OTHER)
+    asked, found = F.regexp_extract(low, VERSION, 1), F.regexp_extract(F.lower("file_path"), VERSION, 1)
+    by_version = F.when(found == "", 0.0).when(asked == "", VERSION_UNASKED).when(asked == found, VERSION_MATCH).otherwise(VERSION_OTHER)
+    wants_config = F.arrays_overlap(words, F.array(*[F.lit(w) for w in CONFIG_WORDS]))
+    by_config = F.when(wants_config & (cls == "config"), F.when(d == 0, CONFIG_ROOT).otherwise(F.greatest(0.2 - 0.03 * d, F.lit(0.05)))).otherwise(0.0)
+    return by_path + by_symbol + by_stem + by_cover + role + body + source + by_kind + by_version + by_config
+
+
+def boosts(query: Column) -> Column:
+    """Multiples of the pool's best score: query words in the path (natural language only), and definitions of names of the query."""
+    words = F.filter(F.array_distinct(t.analyze(query)), lambda w: F.length(w) >= 4)
+    tokens = F.transform(t.analyze(t.path_tokens(F.col("file_path"))), t.normalize_token)
+    ratio = F.size(F.filter(words, lambda w: F.array_contains(tokens, t.normalize_token(w)))) / F.greatest(F.size(words), F.lit(1))
+    kind = t.query_kind(query)
+    by_path = F.when((kind == "natural") & (ratio >= 0.05), PATH_BOOST * ratio).otherwise(0.0)
+    names = F.filter(F.array_distinct(F.regexp_extract_all(query, F.lit(r"[A-Za-z_]\w*"), F.lit(0))), lambda w: F.length(w) >= 4)
+    defines = F.exists(names, lambda w: F.contains(F.lower("content"), F.lower(w)) & F.regexp_like(F.coalesce("content", F.lit("")), F.concat(F.lit(DEFINES), w, F.lit(r"\b"))))
+    single = F.size(names) <= 2
+    by_definition = F.when(defines & single, DEFINES_BOOST["identifier"]).when(defines & F.get(names, F.lit(0)).rlike(r"_|\p{Ll}\p{Lu}"), DEFINES_BOOST["natural"]).otherwise(0.0)
+    return by_path + by_definition
 
 
 def coherence(pool: DataFrame) -> DataFrame:
@@ -76,7 +107,9 @@ def rank(candidates: DataFrame, query: str = "query") -> DataFrame:
     q = Window.partitionBy("query_id")
     sized = candidates.withColumn("pool", F.count("*").over(q)).withColumn("file", F.concat_ws(":", "repo", "file_path"))
     scored = sized.withColumn("score", F.when(F.col("pool") > 1, base_score(F.col("rank"), F.col("pool")) + prior(F.col(query))).otherwise(F.lit(1.0)))
-    return diversify(coherence(scored)).drop("pool", "file")
+    best = F.greatest(F.max("score").over(q), F.lit(1e-6))
+    gained = coherence(scored.withColumn("best", best)).withColumn("score", F.when(F.col("pool") > 1, F.col("score") + F.col("best") * boosts(F.col(query))).otherwise(F.col("score")))
+    return diversify(gained).drop("pool", "file", "best")
 
 
 def score_ceiling(ranked: DataFrame) -> DataFrame:

@@ -298,3 +298,24 @@ def test_concept_files_and_seed(spark, tmp_path):
     index.publish(tables, str(tmp_path / "a"))
     index.seed(str(tmp_path / "a"), str(tmp_path / "b"))
     assert index.open_index(spark, str(tmp_path / "b"))["chunks"].count() == 3
+
+
+def test_ranking_signals(spark):
+    base = dict(repo="r", file_path="src/a.py", language="python", content="x", symbol_type="block", symbol_name=None)
+    def scores(query, *changes):
+        cols = ["query", *base]
+        data = [(query, *{**base, **c}.values()) for c in changes]
+        df = spark.createDataFrame(data, "query string, repo string, file_path string, language string, content string, symbol_type string, symbol_name string")
+        assert df.columns == cols
+        return [r[0] for r in df.select(ranking.prior(F.col("query")) + ranking.boosts(F.col("query"))).collect()]
+
+    plain, test = scores("load settings", {}, {"file_path": "tests/a.py"})
+    assert plain > test
+    new, old, none = scores("parse v2 header", {"file_path": "src/v2/a.py"}, {"file_path": "src/v1/a.py"}, {})
+    assert new > none > old
+    fn, cl = scores("function that loads a file", {"symbol_type": "method"}, {"symbol_type": "class"})
+    assert fn > cl
+    named, other, null = scores("parse_config", {"symbol_name": "parse_config", "content": "def parse_config(): pass"}, {"symbol_name": "other"}, {"content": None})
+    assert named > other and null is not None
+    root, deep, code = scores("config", {"file_path": "app.toml", "language": "toml"}, {"file_path": "a/b/app.toml", "language": "toml"}, {})
+    assert root > deep > code
