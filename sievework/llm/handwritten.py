@@ -1,16 +1,18 @@
 """Telling hand-written source from generated, minified, vendored files and data blobs.
 
 Every file becomes token shingles in which names are masked; literals, keywords and punctuation
-stay. MinHash signatures of the masked and of the literal shingles are cut in bands; files that
-agree in a band of both meet (masked bands alone would put all boilerplate in a few buckets), each
-bucket is linked to its lowest file, and links count only if both signatures agree in at least
-``SIMILAR`` of their values. Links are closed transitively by passing the lowest id on.
+stay. MinHash signatures of the masked shingles are cut in bands; files that agree in a band meet, each
+bucket is linked to its lowest file, and links count only if the masked signatures agree in at least
+``SIMILAR`` of their values. Linked files whose literal signatures agree as well are copies, others are a
+family. Links are closed transitively by passing the lowest id on.
 
-* A cluster that spans repositories is a copy of code from elsewhere: vendored, except where a file
+* A cluster of copies that spans repositories is code from elsewhere: vendored, except where a file
   names its own repository as the owner.
 * Files without names outside literals, and with many literals, are data saved as code: blobs.
-* A family inside one repository in which a file says that it is generated marks the rest of the
-  family as generated too.
+* A family inside one repository is generated if a file of it says so, or if it has ``FAMILY`` members
+  of ``FAMILY_TOKENS`` tokens that are no copies of each other: short files of one form are boilerplate.
+* A source file that is one form (names and numbers masked) over and over with numbers that count upwards
+  is generated, alone or not: accessors, tables of constants, switches of steps.
 * Text in front of the code that *declares* an origin (generator, upstream), the conventional
   folders and names of such files, and the form of minified text are evidence of their own. Words
   that only occur somewhere are not: a declaration must open a comment.
@@ -45,6 +47,10 @@ SIMILAR = 0.8
 BAND_ROWS = 6
 #: Tokens from which near copies are meaningful; exact copies need fewer.
 NEAR_TOKENS, COPY_TOKENS = 64, 24
+#: Members of one repository, and tokens of each, from which a family that declares nothing is generated.
+FAMILY, FAMILY_TOKENS = 3, 200
+#: Share of a file's forms that must occur FORM_TIMES in it; forms of fewer than FORM_SHARE of the tokens are mostly prose.
+FORM_TOKENS, FORM_TIMES, REPEATED, FORM_SHARE = 200, 20, 0.94, 0.5
 HEADER_LINES, HEADER_CHARS = 30, 4000
 LONG_LINE = 240
 
@@ -70,6 +76,8 @@ GENERATED_PATH = re.compile(
 MINIFIED_PATH = re.compile(r"\.(?:min|bundle|chunk|pack)\.(?:js|css|mjs)$", re.I)
 SOURCE = frozenset("py pyi rs ts tsx js jsx mjs cjs go java kt kts c h cc cpp cxx hpp cs rb php swift scala lua pl zig m mm".split())
 
+NUMBER = re.compile(r"\b[0-9]{1,15}\b")
+
 LIT_TOKENS, NAME_SHARE = 40, 0.12
 SLICE_BYTES = 2_000_000
 
@@ -113,6 +121,34 @@ def literal_only(t: sh.Tokens) -> np.ndarray:
     return (literal >= LIT_TOKENS) & (names <= NAME_SHARE * (literal + names)) & (names <= 40)
 
 
+def repetitive(t: sh.Tokens, masked: np.ndarray) -> np.ndarray:
+    """Per text: whether nearly all of it is a few forms over and over. Runs of names or numbers count once."""
+    forms = np.where(t.kind == sh.DIGIT, np.uint64(2), masked)
+    first = np.ones(len(forms), bool)
+    first[1:] = (forms[1:] != forms[:-1]) | (t.text[1:] != t.text[:-1])
+    hashes, text = sh.shingle(forms[first], t.text[first])
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(hashes)))
+    total = np.bincount(text, minlength=t.n)
+    often = np.bincount(text[at], weights=np.where(times >= FORM_TIMES, times, 0), minlength=t.n)
+    return (total >= FORM_TOKENS) & (often >= REPEATED * total) & (total >= FORM_SHARE * np.bincount(t.text, minlength=t.n))
+
+
+def ascending(text: str) -> bool:
+    """Whether numbers of the text count upwards: all, or every second, third or fourth of them."""
+    x = np.array([int(n) for n in NUMBER.findall(text)])
+    for lag in range(1, 5):
+        for at in range(lag):
+            column = x[at::lag]
+            if len(column) >= FORM_TIMES and (np.diff(column) >= 0).mean() >= REPEATED and column[-1] > column[0]:
+                return True
+    return False
+
+
 OUT = pa.schema([
     ("file_id", pa.int64()), ("repo", pa.string()), ("content_key", pa.int64()), ("tokens", pa.int32()), ("generated", pa.bool_()), ("vendored", pa.bool_()),
     ("own", pa.bool_()), ("minified", pa.bool_()), ("blob", pa.bool_()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64())),
@@ -144,18 +180,21 @@ def read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = sh.tokenize(np.frombuffer(b"".join(raw), np.uint8), offsets)
             tokens = np.bincount(t.text, minlength=t.n)
             literal = sh.signatures(*sh.shingle(t.hash, t.text), t.n)
-            names_masked = sh.signatures(*sh.shingle(sh.masked(t), t.text), t.n)
-            keys = sh.band_keys(names_masked, BAND_ROWS) ^ (sh.band_keys(literal, BAND_ROWS) * np.int64(31))
-            blobs = literal_only(t)
+            masked = sh.masked(t)
+            names_masked = sh.signatures(*sh.shingle(masked, t.text), t.n)
+            keys = sh.band_keys(names_masked, BAND_ROWS)
+            blobs, repeats = literal_only(t), repetitive(t, masked)
             rows = []
             for i in range(part.num_rows):
                 path, text = paths[i] or "", texts[i] or ""
                 ext = path.rsplit(".", 1)[-1].lower() if "." in path else ""
                 gen, up, own = declared(text, repos[i])
                 source = ext in SOURCE
+                minified = source and (bool(MINIFIED_PATH.search(path)) or minified_form(text)) and not blobs[i]
+                counted = source and repeats[i] and not blobs[i] and not minified and ascending(text)
                 rows.append((
-                    gen or bool(GENERATED_PATH.search(path)), up or bool(VENDOR_PATH.search(path)), own,
-                    source and (bool(MINIFIED_PATH.search(path)) or minified_form(text)) and not blobs[i], source and bool(blobs[i]),
+                    gen or bool(GENERATED_PATH.search(path)) or bool(counted), up or bool(VENDOR_PATH.search(path)), own,
+                    minified, source and bool(blobs[i]),
                 ))
             flags = list(zip(*rows, strict=True)) or [[]] * 5
             page = [x[:200].lstrip().lower().startswith(b"<") for x in raw]  # a saved web page is no copied code
@@ -206,8 +245,9 @@ def judge(files: DataFrame) -> DataFrame:
     met = entries.join(centre, "key").where("file_id != low").select("low", F.col("file_id").alias("high")).distinct()
     sigs = seen.select("file_id", "sig")
     pairs = met.join(sigs.withColumnsRenamed({"file_id": "low", "sig": "sig_a"}), "low").join(sigs.withColumnsRenamed({"file_id": "high", "sig": "sig_b"}), "high")
-    links = cut(pairs.mapInArrow(agreement, "low long, high long, masked double, literal double").where((F.col("masked") >= SIMILAR) & (F.col("literal") >= SIMILAR)))
-    labels = clusters(links)
+    links = cut(pairs.mapInArrow(agreement, "low long, high long, masked double, literal double").where(F.col("masked") >= SIMILAR))
+    labels = clusters(links.where(F.col("literal") >= SIMILAR))
+    forms = clusters(links).withColumnRenamed("label", "form")
 
     known = same.join(labels, same.rep == labels.id, "left").withColumn("label", F.coalesce("label", "rep")).drop("id")
     family = known.groupBy("label").agg(
@@ -215,10 +255,16 @@ def judge(files: DataFrame) -> DataFrame:
         F.max("some_generated").alias("family_generated"),
     )
     verdict = known.join(family, "label").select("content_key", "across", "family_generated")
-    out = seen.join(verdict, "content_key")
+    # families within a repository; content without links has none
+    inside = known.join(forms, known.rep == forms.id).select("content_key", "label", "form")
+    inside = inside.join(seen.select("content_key", "repo", "tokens", "generated"), "content_key").where("repo is not null")
+    many = F.countDistinct(F.when(F.col("tokens") >= FAMILY_TOKENS, F.col("label"))) >= FAMILY
+    made = inside.groupBy("form", "repo").agg((F.max("generated") | many).alias("made")).where("made")
+    made = inside.join(made, ["form", "repo"]).select("content_key", "repo", "made").distinct()
+    out = seen.join(verdict, "content_key").join(made, ["content_key", "repo"], "left")
     return out.select(
         "file_id", "repo",
-        (F.col("generated") | F.col("family_generated")).alias("generated"),
+        (F.col("generated") | F.col("family_generated") | F.coalesce("made", F.lit(False))).alias("generated"),
         "minified",
         (F.col("vendored") | F.col("across") & ~F.col("own")).alias("vendored"),
         "blob",

@@ -202,6 +202,26 @@ def test_kinds_of_files(spark):
     assert handwritten.found(handwritten.judge(spark.createDataFrame([], FILES))).collect() == []
 
 
+def test_families_that_declare_nothing(spark):
+    def accessors(name, n):
+        return "".join(f"export function get{name}{i:03}(buf) {{\n  return buf.slice({4 * i}, {4 * i + 4});\n}}\n\n" for i in range(n))
+
+    def handler(name):  # no form recurs within a file, all recur in its fellows
+        rng = random.Random(7)
+        ops = "+ - * / % & | ^ < >".split()
+        return "\n".join(f"let {name}{i} = {name}({rng.randint(0, 999)} {rng.choice(ops)} {rng.randint(0, 999)}) {rng.choice(ops)} {name}[{rng.randint(0, 99)}];" for i in range(40))
+
+    table = "".join(f"{w}_{i:X} = {i}\n" for i, w in enumerate(["GLYPH_CARRY", "GLYPH_STRIP"] * 60, 465))
+    short = "import {{ {0}Relay }} from './relay';\nclass {0} {{\n  constructor(raw) {{\n    this.a = raw.{0};\n    this.b = raw.{0}Item;\n    this.c = raw.{0}Part;\n    this.d = raw.{0}Rest;\n  }}\n}}\n" * 2
+    rows = [(1, "a", "src/x.js", accessors("Ranker", 60)), (2, "b", "src/y.ts", accessors("Mesh", 70)), (3, "c", "src/z.py", table)]
+    rows += [(10 + i, "d", f"src/h{i}.js", handler(w)) for i, w in enumerate(("alpha", "beta", "gamma"))] + [(20, "e", "src/h.js", handler("delta"))]
+    rows += [(30 + i, "f", f"src/s{i}.js", short.format(w)) for i, w in enumerate(("Alpha", "Beta", "Gamma"))]
+    rows = [(i, r, "/x/" + p, p, None, None, c, None, None) for i, r, p, c in rows]
+    got = {r.file_id for r in handwritten.judge(spark.createDataFrame(rows, FILES)).where("generated").collect()}
+    assert got == {1, 2, 3, 10, 11, 12}
+    assert handwritten.found(handwritten.judge(spark.createDataFrame(rows[-4:], FILES))).collect() == []
+
+
 def test_tokens_and_signatures_match_plain_python():
     import re
 
