@@ -13,9 +13,10 @@ family. Links are closed transitively by passing the lowest id on.
   of ``FAMILY_TOKENS`` tokens that are no copies of each other: short files of one form are boilerplate.
 * A source file that is one form (names and numbers masked) over and over with numbers that count upwards
   is generated, alone or not: accessors, tables of constants, switches of steps.
-* Text in front of the code that *declares* an origin (generator, upstream), the conventional
-  folders and names of such files, and the form of minified text are evidence of their own. Words
-  that only occur somewhere are not: a declaration must open a comment.
+* Text that *declares* an origin (generator, upstream) before, behind or apart from the code, the
+  conventional folders and names of such files, and the form of minified text are evidence of their own.
+  Words that only occur somewhere are not: a declaration must open a comment, and behind the head one that
+  is attached to code or lies in a string (a template) is a mention.
 
 Exact copies are compared once: one file stands for all with the same bytes, with the number of
 repositories it lies in.
@@ -68,6 +69,9 @@ UPSTREAM_TEXT = re.compile(
 )
 OWNER_TEXT = re.compile(r"copyright (?:\(c\) |© )?[\d, -]*(?:the )?([\w.-]+) contributors\b", re.I)
 BANNER = re.compile(r"^\s*/\*! *([\w.-]+) +v?\d")
+#: Comments and blank lines only, from a place on.
+COMMENTS = re.compile(r"(?:\s*+(?://[^\n]*+|\#(?!\s*+(?:include|define|if|ifdef|ifndef|endif|undef|pragma)\b)[^\n]*+|--[^\n]*+|;[^\n]*+|/\*.*?\*/|<!--.*?-->|\"\"\".*?\"\"\"|'''.*?'''))*+\s*+", re.S)
+ALONE = re.compile(r"\s*(?:$|//|#|/\*|\*|--|;|<!--)")
 VENDOR_PATH = re.compile(r"(?:^|/)(?:vendor|vendored|third[-_]party|thirdparty|3rdparty|node_modules|bower_components|deps|external|externals|bundled|Godeps|site-packages)/", re.I)
 GENERATED_PATH = re.compile(
     r"(?:^|/)(?:generated|__generated__|generated[-_]sources|generated[-_]src|autogen|gen-src)/|^(?:dist|build|out|target)/"
@@ -94,14 +98,38 @@ def minified_form(text: str) -> bool:
 def declared(text: str, repo: str | None) -> tuple[bool, bool, bool]:
     """(says it is generated, says it comes from elsewhere, says it is the repository's own)."""
     head = "\n".join(text[:HEADER_CHARS].split("\n", HEADER_LINES)[:HEADER_LINES])
+    first = max(len(head), COMMENTS.match(text).end())
     own = False
-    upstream = bool(UPSTREAM_TEXT.search(head)) or bool(BANNER.match(head))
-    for m in OWNER_TEXT.finditer(head):
+    upstream = opens(UPSTREAM_TEXT, text, first) or bool(BANNER.match(head))
+    for m in OWNER_TEXT.finditer(text[:first]):
         if repo and m.group(1).lower() == repo.lower():
             own = True
         else:
             upstream = True
-    return bool(GENERATED_TEXT.search(head)), upstream, own
+    return opens(GENERATED_TEXT, text, first), upstream, own
+
+
+def opens(pattern: re.Pattern, text: str, first: int) -> bool:
+    """Whether a comment declares an origin: in the first part, behind all code, or as an unindented comment between blank lines or comments that lies in no string."""
+    for m in pattern.finditer(text):
+        if m.start() < first:
+            return True
+        start, close = text.rfind("/*", 0, m.end()), m.end()
+        if start > text.rfind("*/", 0, m.end()):
+            close = max(close, text.find("*/", close))
+        else:
+            start = text.rfind("\n", 0, m.end()) + 1
+        stop = text.find("\n", close)
+        stop = len(text) if stop < 0 else stop
+        if COMMENTS.fullmatch(text, start):
+            return True
+        before = text[:start].rstrip("\n").rpartition("\n")[2] if not text[:start].endswith("\n\n") else ""
+        after = text[stop + 1 :].split("\n", 1)[0]
+        if text[start].isspace() or not (ALONE.match(before) and ALONE.match(after)):
+            continue
+        if not any(text.count(q, 0, start) % 2 for q in ('"""', "'''", "`")):
+            return True
+    return False
 
 
 def literal_only(t: sh.Tokens) -> np.ndarray:

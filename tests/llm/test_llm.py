@@ -202,6 +202,20 @@ def test_kinds_of_files(spark):
     assert handwritten.found(handwritten.judge(spark.createDataFrame([], FILES))).collect() == []
 
 
+def test_declarations_anywhere():
+    code = body(1, 300)
+    says = lambda text: handwritten.declared(text, "a")[:2]
+    assert says(code) == (False, False)
+    assert says(code + "\n# Code generated by foogen; DO NOT EDIT.\n") == (True, False)
+    assert says("# line of a licence\n" * 200 + "# @generated from x.schema\n" + code) == (True, False)
+    assert says("/*\n" + "a licence\n" * 600 + " * This file was generated by x\n*/\n" + code) == (True, False)
+    assert says(code + "\n\n# Code generated by foogen\n\n" + code) == (True, False)
+    assert says(code + "\n/*\n * @generated from x.schema\n */\n") == (True, False)
+    assert says(code + "\n// Vendored from upstream\n") == (False, True)
+    for mention in ('\nT = """\n\n# Code generated by foogen\n\n"""\n', "\n    # do not edit while it is open\n    x = 1\n", "\n# generated by the clock\nx = 1\n", "\nx = 1  # @generated is a word\n"):
+        assert says(code + mention + code) == (False, False)
+
+
 def test_families_that_declare_nothing(spark):
     def accessors(name, n):
         return "".join(f"export function get{name}{i:03}(buf) {{\n  return buf.slice({4 * i}, {4 * i + 4});\n}}\n\n" for i in range(n))
