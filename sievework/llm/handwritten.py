@@ -2,8 +2,8 @@
 
 Every file becomes token shingles in which names are masked; literals, keywords and punctuation
 stay. MinHash signatures of the masked shingles are cut in bands; files that agree in a band meet, each
-bucket is linked to its lowest file, and links count only if the masked signatures agree in at least
-``SIMILAR`` of their values. Linked files whose literal signatures agree as well are copies, others are a
+bucket is linked so that all its pairs that agree are connected, and links count only if the masked
+signatures agree in at least ``SIMILAR`` of their values. Linked files whose literal signatures agree as well are copies, others are a
 family. Links are closed transitively by passing the lowest id on.
 
 * A cluster of copies that spans repositories is code from elsewhere: vendored, except where a file
@@ -21,8 +21,9 @@ family. Links are closed transitively by passing the lowest id on.
 Exact copies are compared once: one file stands for all with the same bytes, with the number of
 repositories it lies in.
 
-Only ids, band keys and, for linked files, signatures are shuffled; never content. A key shared by a
-third of all files costs one link per file, not one per pair.
+Only ids, band keys and, for linked files, signatures are shuffled; never content. Buckets of
+more than ``BUCKET`` files are subdivided by further minima without losing a pair; what is still larger
+then is compared block by block, at quadratic cost.
 
 Edge cases: null or empty content is judged by path alone, null paths by content alone; repeated
 rows of a file give one result; ``size`` is not trusted (it may be null or wrong); very long files
@@ -46,6 +47,8 @@ from sievework.session import cut
 
 SIMILAR = 0.8
 BAND_ROWS = 6
+#: Files up to which a bucket is compared in one task.
+BUCKET = 2000
 #: Tokens from which near copies are meaningful; exact copies need fewer.
 NEAR_TOKENS, COPY_TOKENS = 64, 24
 #: Members of one repository, and tokens of each, from which a family that declares nothing is generated.
@@ -234,13 +237,87 @@ def read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], schema=OUT)
 
 
-def agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verifies links: shares of equal values of the masked and of the literal signatures."""
+def link(ids: np.ndarray, sig: np.ndarray) -> list[tuple[int, int, float, float]]:
+    """Links (low, high, masked, literal) of a bucket that connect all its pairs that agree; each file is the centre once."""
+    order = np.argsort(ids)
+    ids, sig = ids[order], sig[order]
+    family, copies = np.arange(len(ids)), np.arange(len(ids))
+    out = []
+    for i in range(len(ids) - 1):
+        same = (sig[i] == sig[i + 1 :]).mean(2)
+        near = same[:, 0] >= SIMILAR
+        copy = near & (same[:, 1] >= SIMILAR)
+        new = np.flatnonzero(near & (family[i + 1 :] != family[i]) | copy & (copies[i + 1 :] != copies[i]))
+        for j in new:
+            out.append((ids[i], ids[i + 1 + j], same[j, 0], same[j, 1]))
+        for label, hit in ((family, near), (copies, copy)):
+            label[np.isin(label, label[i + 1 :][hit])] = label[i]
+    return out
+
+
+def link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of buckets; rows come sorted by key."""
+
+    def rows(got: list[tuple[int, int, float, float]]) -> pa.RecordBatch:
+        low, high, masked, literal = list(zip(*got, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(masked, pa.float64()), pa.array(literal, pa.float64())], names=["low", "high", "masked", "literal"])
+
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+    def flush() -> list[tuple[int, int, float, float]]:
+        got = link(np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])) if held else []
+        held.clear()
+        return got
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "file_id"))
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, 2, sh.BINS)
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        out = []
+        for a, b in zip(starts, np.append(starts[1:], len(key)), strict=True):
+            if held and held[0][0] != key[a]:
+                out += flush()
+            held.append((key[a], ids[a:b], sig[a:b]))
+        yield rows(out)
+    yield rows(flush())
+
+
+def subdivide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets by further minima. A pair that agrees in SIMILAR of them differs in fewer minima than there are groups, so it agrees in all of some group."""
+    groups = np.array_split(np.arange(sh.BINS), round(sh.BINS * (1 - SIMILAR)) + 1)
     for batch in batches:
-        a = np.frombuffer(b"".join(batch.column("sig_a").to_pylist()), np.uint32).reshape(-1, 2, sh.BINS)
-        b = np.frombuffer(b"".join(batch.column("sig_b").to_pylist()), np.uint32).reshape(-1, 2, sh.BINS)
-        same = (a == b).mean(2)
-        yield pa.RecordBatch.from_arrays([batch.column("low"), batch.column("high"), pa.array(same[:, 0]), pa.array(same[:, 1])], names=["low", "high", "masked", "literal"])
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, 2, sh.BINS)[:, 0]
+        key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+        ids = batch.column("file_id").to_numpy(zero_copy_only=False)
+        for g, columns in enumerate(groups):
+            h = sh.mix(key + np.uint64(g))
+            for c in columns:
+                h = sh.mix(h ^ sig[:, c].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h.view(np.int64))], names=["file_id", "key"])
+
+
+def links_of(entries: DataFrame, sigs: DataFrame, most: int | None = None) -> DataFrame:
+    """low, high, masked, literal: links that connect every pair that meets in a bucket of ``entries`` (file_id, key) and agrees."""
+    most = most or BUCKET
+
+    def buckets(e: DataFrame) -> DataFrame:
+        # buckets of the same files count once
+        b = e.groupBy("key").agg(F.count("*").alias("n"), F.min("file_id").alias("lo"), F.max("file_id").alias("hi"), F.bit_xor(F.xxhash64("file_id")).alias("x")).where("n > 1")
+        return e.join(cut(b.groupBy("n", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "n")), "key")
+
+    held = cut(buckets(entries))
+    if held.where(F.col("n") > most).limit(1).count():
+        hot = held.where(F.col("n") > most).join(sigs, "file_id").select("file_id", "key", "sig")
+        held = held.where(F.col("n") <= most).unionByName(buckets(cut(hot.mapInArrow(subdivide, "file_id long, key long"))))
+        # what is still too large is compared block by block
+        blocks = F.ceil(F.col("n") * 2 / F.lit(most))
+        held = held.withColumn("j", F.explode(F.when(F.col("n") > most, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.lit(0).cast("long")))))
+        b = F.pmod(F.xxhash64("file_id"), blocks)
+        held = held.withColumn("key", F.when(F.col("n") > most, F.xxhash64("key", F.least(b, "j"), F.greatest(b, "j"))).otherwise(F.col("key")))
+    rows = held.select("file_id", "key").distinct().join(sigs, "file_id").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(link_buckets, "low long, high long, masked double, literal double").distinct()
 
 
 def clusters(links: DataFrame) -> DataFrame:
@@ -269,11 +346,7 @@ def judge(files: DataFrame) -> DataFrame:
     )
     same = cut(same.withColumn("spans", F.coalesce("spans", F.lit(False)) & (F.col("tokens") >= COPY_TOKENS)))
     entries = seen.join(same.select(F.col("rep").alias("file_id")), "file_id", "left_semi").select("file_id", F.explode("keys").alias("key"))
-    centre = entries.groupBy("key").agg(F.min("file_id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    met = entries.join(centre, "key").where("file_id != low").select("low", F.col("file_id").alias("high")).distinct()
-    sigs = seen.select("file_id", "sig")
-    pairs = met.join(sigs.withColumnsRenamed({"file_id": "low", "sig": "sig_a"}), "low").join(sigs.withColumnsRenamed({"file_id": "high", "sig": "sig_b"}), "high")
-    links = cut(pairs.mapInArrow(agreement, "low long, high long, masked double, literal double").where(F.col("masked") >= SIMILAR))
+    links = cut(links_of(entries, seen.select("file_id", "sig")))
     labels = clusters(links.where(F.col("literal") >= SIMILAR))
     forms = clusters(links).withColumnRenamed("label", "form")
 

@@ -202,6 +202,25 @@ def test_kinds_of_files(spark):
     assert handwritten.found(handwritten.judge(spark.createDataFrame([], FILES))).collect() == []
 
 
+@pytest.mark.parametrize("most", [None, 4])
+def test_links_beside_the_lowest_file(spark, most):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**32, sh.BINS, dtype=np.uint32)
+    rows = []
+    for g in range(3):  # below SIMILAR of the lowest file and of each other's group
+        other = base.copy()
+        other[10 + 30 * g : 40 + 30 * g] = rng.integers(0, 2**32, 30, dtype=np.uint32)
+        for k in range(4):
+            near = other.copy()
+            near[110 + k] += 1
+            rows.append((1 + 10 * g + k, 5, np.stack([near, near]).tobytes()))
+    rows.append((0, 5, np.stack([base, base]).tobytes()))
+    df = spark.createDataFrame(rows, "file_id long, key long, sig binary").repartition(3)
+    links = handwritten.links_of(df.select("file_id", "key"), df.select("file_id", "sig"), most)
+    got = {r.id: r.label for r in handwritten.clusters(links).collect()}
+    assert got == {i: 10 * (i // 10) + 1 for i in (1, 2, 3, 4, 11, 12, 13, 14, 21, 22, 23, 24)}
+
+
 def test_declarations_anywhere():
     code = body(1, 300)
     says = lambda text: handwritten.declared(text, "a")[:2]
