@@ -85,6 +85,9 @@ SOURCE = frozenset("py pyi rs ts tsx js jsx mjs cjs go java kt kts c h cc cpp cx
 
 NUMBER = re.compile(r"\b[0-9]{1,15}\b")
 
+PAGE = re.compile(r"\ufeff?\s*(?:<!--.{0,2000}?-->\s*)*<(?:!doctype\s+html|html|head|body)\b", re.I | re.S)
+MARKUP = frozenset("html htm xhtml shtml xml svg php phtml vue svelte jsp jspx asp aspx erb ejs hbs".split())
+
 LIT_TOKENS, NAME_SHARE = 40, 0.12
 SLICE_BYTES = 2_000_000
 
@@ -169,6 +172,12 @@ def repetitive(t: sh.Tokens, masked: np.ndarray) -> np.ndarray:
     return (total >= FORM_TOKENS) & (often >= REPEATED * total) & (total >= FORM_SHARE * np.bincount(t.text, minlength=t.n))
 
 
+def saved_page(path: str | None, text: str | None) -> bool:
+    """Whether a web page lies under the name of something else: it is no copied code."""
+    ext = (path or "").rsplit(".", 1)[-1].lower()
+    return ext not in MARKUP and bool(PAGE.match(text or ""))
+
+
 def ascending(text: str) -> bool:
     """Whether numbers of the text count upwards: all, or every second, third or fourth of them."""
     x = np.array([int(n) for n in NUMBER.findall(text)])
@@ -228,7 +237,7 @@ def read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     minified, source and bool(blobs[i]),
                 ))
             flags = list(zip(*rows, strict=True)) or [[]] * 5
-            page = [x[:200].lstrip().lower().startswith(b"<") for x in raw]  # a saved web page is no copied code
+            page = [saved_page(path, text) for path, text in zip(paths, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()), pa.array(repos, pa.string()), part.column("content_key"), pa.array(tokens.astype(np.int32)),
                 *[pa.array(x, pa.bool_()) for x in flags],

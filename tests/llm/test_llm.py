@@ -221,6 +221,13 @@ def test_links_beside_the_lowest_file(spark, most):
     assert got == {i: 10 * (i // 10) + 1 for i in (1, 2, 3, 4, 11, 12, 13, 14, 21, 22, 23, 24)}
 
 
+def test_markup_is_compared_and_saved_pages_are_not(spark):
+    php, page = "<?php\n" + body(31, 90), "<!DOCTYPE html>\n<html>\n" + body(32, 90)
+    rows = [(1, "a", "x.php", php), (2, "b", "y.php", php + "\n$z = 1;\n"), (3, "a", "x.js", page), (4, "b", "y.js", page + "\n<p>z</p>\n")]
+    rows = [(i, r, "/x/" + p, p, None, None, c, None, None) for i, r, p, c in rows]
+    assert {r.file_id for r in handwritten.found(handwritten.judge(spark.createDataFrame(rows, FILES))).collect()} == {1, 2}
+
+
 def test_declarations_anywhere():
     code = body(1, 300)
     says = lambda text: handwritten.declared(text, "a")[:2]
