@@ -42,6 +42,7 @@ MARK = re.compile(
     r"|\[[^\]\n]{0,40}\b(?:clipped|truncated|cut off|cut|snipped|trimmed|shortened|omitted)\b[^\]\n]{0,20}\]|<(?:truncated|snip|more)>|\bread more)\s*$",
     re.I,
 )
+TRAILS = re.compile(r"[^\W_]\s*(?:\.\.\.|…)$")
 BROKEN = re.compile(r"(?:�|&(?:#?\w{0,6})|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|%[0-9A-F]?)$")
 LIST = re.compile(r"\s*(?:[-*+•]|\d{1,3}[.)])\s+\S")
 FIELD = re.compile(r"\s{2,}[\w*]+(?:\s*\([^)]*\))?:\s+\S")
@@ -163,7 +164,8 @@ def ending(text: str | None) -> tuple[str, str, str]:
         return "broken", closing, word
     mark = MARK.search(body)
     if mark:
-        return ("closing" if closing else "mark"), closing, word
+        # words that trail off on a line of their own may be a habit; explicit marks and bare ellipses are none
+        return ("closing" if closing and TRAILS.search(closing) else "mark"), closing, word
     if fences % 2:
         return "open", "", word
     if tail.strip().startswith("```"):

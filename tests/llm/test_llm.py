@@ -498,6 +498,14 @@ def test_endings(text, form):
     assert got == form or (text == "He said <b>so" and got in ("open", "loose"))
 
 
+def test_marks_alone_in_the_last_paragraph(spark):
+    marks = ["(truncated)", "(more)", "[message clipped]", "[truncated]", "...", "…"]
+    rows = [(10 * i + k, f"The {k} report was read.\n\n{m}", "mail") for i, m in enumerate(marks) for k in range(4)]
+    rows += [(100 + k, f"The {k} report was read.\n\nand so on...", "mail") for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id for r in truncation.judge(df).where("truncated").collect()} == {10 * i + k for i in range(6) for k in range(4)}
+
+
 def test_truncation_baselines(spark):
     rows = [(i, f"Sentence number {i} is whole.\n\nbest wishes from Kim", "en", "mail", 0, 0) for i in range(5)]
     rows += [(20, "A whole one.\n\nBut then it", "en", "mail", 0, 0), (21, None, "en", None, 0, 0), (22, "Rename parser module", "en", "log", 0, 0), (23, "The parser module is fine.", "en", "log", 0, 0), (24, "Rename parser modu", "en", "log", 0, 0), (20, "A whole one.\n\nBut then it", "en", "mail", 0, 0)]
