@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from sievework.session import cut
 
-#: Distinct texts in which a closing line must recur to count as a signature.
-SIGNATURE_TEXTS = 3
+#: Distinct texts in which a closing line must recur to count as a signature, and their share of the texts of its sources.
+SIGNATURE_TEXTS, SIGNATURE_SHARE = 3, 0.002
 SIGNATURE_CHARS = 40
 TITLE_CHARS = 72
 #: Share of bare titles among a source's distinct texts from which a title may also close a text that has none.
@@ -238,7 +238,14 @@ def judge(documents: DataFrame) -> DataFrame:
     ends = cut(rows.select("doc_id", "source", "text_id", "size", "e.*"))
     texts = ends.dropDuplicates(["source", "text_id"])
 
-    signs = texts.where("closing != ''").groupBy("closing").agg(F.countDistinct("text_id").alias("sign_texts"))
+    totals = texts.groupBy("source").agg(F.count("*").alias("source_texts"))
+    signs = texts.where("closing != ''").groupBy("closing", "source").agg(F.countDistinct("text_id").alias("n")).join(totals, "source")
+    signs = signs.groupBy("closing").agg(F.sum("n").alias("sign_texts"), (F.sum("n") / F.sum("source_texts")).alias("sign_rate"))
+    signs = cut(signs.where((F.col("sign_texts") >= SIGNATURE_TEXTS) & (F.col("sign_rate") >= SIGNATURE_SHARE)).select("closing", "sign_texts"))
+    # what begins longer lines or sentences elsewhere was cut from one
+    lines = documents.select(F.explode(F.split("text", r"\n|(?<=[.!?])\s+")).alias("line")).select(F.trim("line").alias("line"))
+    begun = lines.join(signs, (F.substring("line", 1, 4) == F.substring("closing", 1, 4)) & F.col("line").startswith(F.col("closing")) & (F.length("line") > F.length("closing")))
+    signs = signs.join(begun.select("closing").distinct(), "closing", "left_anti")
     titles = texts.where("head != '' and form != 'closing'").groupBy(F.col("head").alias("closing")).agg(F.count("*").alias("title_texts"))
 
     habits = texts.groupBy("source").agg(F.avg((F.col("form") == "title").cast("int")).alias("title_rate"))
@@ -265,6 +272,7 @@ def judge(documents: DataFrame) -> DataFrame:
     unknown = (F.col("word") != "") & F.col("word_texts").isNull()
     # a recurring line, or up to three words that open in lower case, a dash or a bracket: no sentence begins so
     signed = (F.coalesce("sign_texts", F.lit(0)) >= SIGNATURE_TEXTS) | F.col("closing").rlike(r"^(\p{Ll}+[.!]?( \p{L}+){0,2}|[-–—]{1,2} ?\p{L}{1,12}|\([^()]*\))$") & ~unknown
+    signed = signed & ~F.col("word").isin(*sorted(DANGLING))
     bare = F.col("closing").rlike(r"^\p{Lu}\p{Ll}+( \p{L}+){2,} \p{L}{3,}$") & ~unknown & ~F.col("word").isin(*sorted(DANGLING))
     late_title = (F.col("head") == "") & (F.col("title_texts").isNotNull() | bare & (F.col("title_rate") >= TITLE_SHARE))
     cut_off = (

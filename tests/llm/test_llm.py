@@ -498,6 +498,16 @@ def test_endings(text, form):
     assert got == form or (text == "He said <b>so" and got in ("open", "loose"))
 
 
+def test_recurring_fragments_are_no_signatures(spark):
+    rows = [(k, f"The {k} report was read.\n\nThis text may be", "mail") for k in range(4)]
+    rows += [(10 + k, f"The {k} report was read.\n\nThis tex", "mail") for k in range(4)]
+    rows += [(20 + k, f"The {k} report was read.\n\nRegards Ann", "mail") for k in range(4)]
+    rows += [(30, "This text may be shared.", "wiki")]
+    rows += [(40 + k, f"The {k} report was read.\n\nNothing Rare", "big") for k in range(3)] + [(100 + k, f"The {k} report was sent.", "big") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id for r in truncation.judge(df).where("truncated").collect()} == {*range(4), *range(10, 14), 40, 41, 42}
+
+
 def test_marks_alone_in_the_last_paragraph(spark):
     marks = ["(truncated)", "(more)", "[message clipped]", "[truncated]", "...", "…"]
     rows = [(10 * i + k, f"The {k} report was read.\n\n{m}", "mail") for i, m in enumerate(marks) for k in range(4)]
