@@ -21,7 +21,8 @@ family. Links are closed transitively by passing the lowest id on.
 Exact copies are compared once: one file stands for all with the same bytes, with the number of
 repositories it lies in.
 
-Only ids, band keys and, for linked files, signatures are shuffled; never content. Buckets of
+Only ids, band keys and, for linked files, signatures are shuffled; never content. Of each minimum one byte is
+kept for the comparison: minima that differ agree in it by chance once in 256. Buckets of
 more than ``BUCKET`` files are subdivided by further minima without losing a pair; what is still larger
 then is compared block by block, at quadratic cost.
 
@@ -210,40 +211,45 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def read_files(declarations: bool = True):
     """Evidence of single files, and their signatures."""
-    for batch in batches:
-        for part in slices(batch):
-            ids, repos, paths, texts = (part.column(c).to_pylist() for c in ("file_id", "repo", "relative_path", "body"))
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-            t = sh.tokenize(np.frombuffer(b"".join(raw), np.uint8), offsets)
-            tokens = np.bincount(t.text, minlength=t.n)
-            literal = sh.signatures(*sh.shingle(t.hash, t.text), t.n)
-            masked = sh.masked(t)
-            names_masked = sh.signatures(*sh.shingle(masked, t.text), t.n)
-            keys = sh.band_keys(names_masked, BAND_ROWS)
-            blobs, repeats = literal_only(t), repetitive(t, masked)
-            rows = []
-            for i in range(part.num_rows):
-                path, text = paths[i] or "", texts[i] or ""
-                ext = path.rsplit(".", 1)[-1].lower() if "." in path else ""
-                gen, up, own = declared(text, repos[i])
-                source = ext in SOURCE
-                minified = source and (bool(MINIFIED_PATH.search(path)) or minified_form(text)) and not blobs[i]
-                counted = source and repeats[i] and not blobs[i] and not minified and ascending(text)
-                rows.append((
-                    gen or bool(GENERATED_PATH.search(path)) or bool(counted), up or bool(VENDOR_PATH.search(path)), own,
-                    minified, source and bool(blobs[i]),
-                ))
-            flags = list(zip(*rows, strict=True)) or [[]] * 5
-            page = [saved_page(path, text) for path, text in zip(paths, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array(repos, pa.string()), part.column("content_key"), pa.array(tokens.astype(np.int32)),
-                *[pa.array(x, pa.bool_()) for x in flags],
-                pa.array([np.stack([m, s]).tobytes() for m, s in zip(names_masked, literal, strict=True)], pa.binary()),
-                pa.array([k.tolist() if n >= NEAR_TOKENS and not p else [] for k, n, p in zip(keys, tokens, page, strict=True)], pa.list_(pa.int64())),
-            ], schema=OUT)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                ids, repos, paths, texts = (part.column(c).to_pylist() for c in ("file_id", "repo", "relative_path", "body"))
+                raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+                t = sh.tokenize(np.frombuffer(b"".join(raw), np.uint8), offsets)
+                tokens = np.bincount(t.text, minlength=t.n)
+                literal = sh.signatures(*sh.shingle(t.hash, t.text), t.n)
+                masked = sh.masked(t)
+                names_masked = sh.signatures(*sh.shingle(masked, t.text), t.n)
+                keys = sh.band_keys(names_masked, BAND_ROWS)
+                blobs, repeats = literal_only(t), repetitive(t, masked)
+                rows = []
+                for i in range(part.num_rows):
+                    path, text = paths[i] or "", texts[i] or ""
+                    ext = path.rsplit(".", 1)[-1].lower() if "." in path else ""
+                    gen, up, own = declared(text, repos[i]) if declarations else (False, False, False)
+                    named = path if declarations else ""
+                    source = ext in SOURCE
+                    minified = source and (bool(MINIFIED_PATH.search(named)) or minified_form(text)) and not blobs[i]
+                    counted = source and repeats[i] and not blobs[i] and not minified and ascending(text)
+                    rows.append((
+                        gen or bool(GENERATED_PATH.search(named)) or bool(counted), up or bool(VENDOR_PATH.search(named)), own,
+                        minified, source and bool(blobs[i]),
+                    ))
+                flags = list(zip(*rows, strict=True)) or [[]] * 5
+                page = [saved_page(path, text) for path, text in zip(paths, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids, pa.int64()), pa.array(repos, pa.string()), part.column("content_key"), pa.array(tokens.astype(np.int32)),
+                    *[pa.array(x, pa.bool_()) for x in flags],
+                    pa.array([np.stack([m, s]).tobytes() for m, s in zip(sh.low_bytes(names_masked), sh.low_bytes(literal), strict=True)], pa.binary()),
+                    pa.array([k.tolist() if n >= NEAR_TOKENS and not p else [] for k, n, p in zip(keys, tokens, page, strict=True)], pa.list_(pa.int64())),
+                ], schema=OUT)
+
+    return read
 
 
 def link(ids: np.ndarray, sig: np.ndarray) -> list[tuple[int, int, float, float]]:
@@ -282,7 +288,7 @@ def link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         key, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "file_id"))
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, 2, sh.BINS)
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, 2, sh.BINS)
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         out = []
         for a, b in zip(starts, np.append(starts[1:], len(key)), strict=True):
@@ -297,7 +303,7 @@ def subdivide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets by further minima. A pair that agrees in SIMILAR of them differs in fewer minima than there are groups, so it agrees in all of some group."""
     groups = np.array_split(np.arange(sh.BINS), round(sh.BINS * (1 - SIMILAR)) + 1)
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, 2, sh.BINS)[:, 0]
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, 2, sh.BINS)[:, 0]
         key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
         ids = batch.column("file_id").to_numpy(zero_copy_only=False)
         for g, columns in enumerate(groups):
@@ -344,10 +350,14 @@ def clusters(links: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
-def judge(files: DataFrame) -> DataFrame:
-    """file_id, repo and one flag per kind: generated, minified, vendored, blob."""
+def judge(files: DataFrame, declarations: bool = True) -> DataFrame:
+    """file_id, repo and one flag per kind: generated, minified, vendored, blob.
+
+    Without ``declarations`` neither comments nor names of files and folders count: what is found then comes from
+    clusters and forms alone.
+    """
     rows = files.where("file_id is not null").select(F.col("file_id").cast("long"), "repo", "relative_path", F.xxhash64("content").alias("content_key"), F.col("content").alias("body"))
-    seen = cut(rows.mapInArrow(read_files, OUT_DDL).dropDuplicates(["file_id"]))
+    seen = cut(rows.mapInArrow(read_files(declarations), OUT_DDL).dropDuplicates(["file_id"]))
 
     same = seen.groupBy("content_key").agg(
         F.min("file_id").alias("rep"), (F.min("repo") != F.max("repo")).alias("spans"), F.max("tokens").alias("tokens"),

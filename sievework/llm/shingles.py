@@ -146,6 +146,11 @@ def signatures(shingles: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return sig
 
 
+def low_bytes(sig: np.ndarray) -> np.ndarray:
+    """One byte of each minimum, which is all that comparisons need: two that differ agree in it once in 256."""
+    return mix(sig.astype(np.uint64)).astype(np.uint8)
+
+
 def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     """n x (BINS / rows) keys as signed 64-bit numbers."""
     n, b = len(sig), BINS // rows

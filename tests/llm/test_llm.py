@@ -535,3 +535,16 @@ def test_field_limit(spark):
     judged = truncation.judge(spark.createDataFrame(rows, DOCS)).collect()
     assert {r.doc_id for r in judged if r.truncated} == set(range(3, 9))
     assert {r.doc_id for r in judged if r.at_limit} == set(range(9))
+
+
+def test_clusters_alone(spark):
+    """Without declarations families and copies still count, comments and folders do not."""
+    body = lambda n: "\n".join(f"def step{n}_{i}(value, other):\n    total = value * {i} + other\n    return total - {i * 7}\n" for i in range(12))
+    rows = [(i, repo, f"src/a{i}.py", body("x")) for i, repo in enumerate(["one", "two", "three"])]
+    rows += [(9, "one", "vendor/b.py", "# Code generated by gen; DO NOT EDIT.\nprint(1)\n")]
+    df = spark.createDataFrame(rows, "file_id long, repo string, relative_path string, content string")
+    got = {r.file_id: r for r in handwritten.judge(df, declarations=False).collect()}
+    assert all(got[i].vendored for i in range(3))
+    assert not any((got[9].generated, got[9].vendored, got[9].minified, got[9].blob))
+    with_all = {r.file_id: r for r in handwritten.judge(df).collect()}
+    assert with_all[9].generated and with_all[9].vendored
