@@ -171,9 +171,59 @@ def test_nearest_reaches_the_stated_recall(spark):
     assert len(got) == 150 and hit / total >= 0.95
 
 
+@pytest.mark.parametrize("dim", [48, 64, 128])
+def test_codes_choose_what_is_compared(dim):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((8000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = x[:50]
+    at, sims, compared = neighbours.search_block(q, x, 5, np.arange(50)[:, None] == np.arange(8000)[None, :])
+    s = q @ x.T
+    s[np.arange(50), np.arange(50)] = -2
+    best = np.sort(s, axis=1)[:, -5:][:, ::-1]
+    assert compared < 0.1 * s.size
+    assert (np.abs(sims - best) < 1e-9).mean() >= 0.95
+
+
+def test_ties_go_to_the_lower_row(spark):
+    rng = np.random.default_rng(7)
+    one = rng.standard_normal(16)
+    x = np.concatenate([rng.standard_normal((30, 16)), np.stack([one * (1 + i) for i in range(50)])])
+    man = spark.createDataFrame([(2, "d", 16, 1)], MAN)
+    live = neighbours.live_vectors(spark.createDataFrame(vectors(spark, x), VEC), man).repartition(4)
+    got = {}
+    for r in neighbours.nearest(live.where("rowid % 20 = 0"), live, 5).orderBy("place").collect():
+        got.setdefault(r.rowid, []).append(r.other)
+    assert got[60] == got[80] == [31, 32, 33, 34, 35] and got[40] == [31, 32, 33, 34, 35]
+    assert neighbours.search_block(x[30:31] / np.linalg.norm(one), x[30:] / np.linalg.norm(x[30:], axis=1, keepdims=True), 5)[0].tolist() == [[0, 1, 2, 3, 4]]
+
+
+def test_hot_family_is_split(spark, monkeypatch):
+    """A bucket that holds a family is neither compared all with all nor kept in one task; near pairs are found all the same."""
+    rng = np.random.default_rng(8)
+    family = rng.standard_normal(64) + 0.02 * rng.standard_normal((2200, 64))
+    twins = family[:220] + 0.002 * rng.standard_normal((220, 64))
+    x = np.concatenate([family, twins])
+    monkeypatch.setattr(neighbours, "BLOCK_ENTRIES", 800)
+    compared = []
+    ok = neighbours.estimate_ok
+    monkeypatch.setattr(neighbours, "estimate_ok", lambda a, b, c: compared.append(len(a)) or ok(a, b, c))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    e = np.empty(len(x), neighbours.entry(1))
+    e["code"], f = neighbours.encode(u, 0)
+    e["key"], e["row"], e["f"] = 7, np.arange(len(x)), np.rint(f / neighbours.F_STEP)
+    neighbours.meeting_pairs(e, 0.9)
+    assert sum(compared) <= len(x) * neighbours.WINDOW
+    got = neighbours.top_similar(spark.createDataFrame(vectors(spark, x), VEC), spark.createDataFrame([(2, "d", 64, 1)], MAN), 5, 0.9)
+    first = {r.rowid: r.other for r in got.where("place = 1").collect()}
+    assert len(first) == len(x) and sum(first[i + 1] == 2201 + i for i in range(220)) >= 198
+
+
 def test_no_vectors(spark):
     man = spark.createDataFrame([(2, "d", 16, 1)], MAN)
     assert neighbours.top_similar(spark.createDataFrame([], VEC), man, 5, 0.9).collect() == []
+    live = neighbours.live_vectors(spark.createDataFrame([], VEC), man)
+    assert neighbours.nearest(live, live, 5).collect() == []
 
 
 # ---------------------------------------------------------------- 5 hand-written source
@@ -213,8 +263,8 @@ def test_links_beside_the_lowest_file(spark, most):
         for k in range(4):
             near = other.copy()
             near[110 + k] += 1
-            rows.append((1 + 10 * g + k, 5, np.stack([near, near]).tobytes()))
-    rows.append((0, 5, np.stack([base, base]).tobytes()))
+            rows.append((1 + 10 * g + k, 5, sh.low_bytes(np.stack([near, near])).tobytes()))
+    rows.append((0, 5, sh.low_bytes(np.stack([base, base])).tobytes()))
     df = spark.createDataFrame(rows, "file_id long, key long, sig binary").repartition(3)
     links = handwritten.links_of(df.select("file_id", "key"), df.select("file_id", "sig"), most)
     got = {r.id: r.label for r in handwritten.clusters(links).collect()}
