@@ -1,26 +1,34 @@
 """Processing only new or changed records.
 
-A record is a file seen by an attempt of a run. The state table keeps, for each file, the digest
-that the last *successful* attempt recorded. Both the state and the incoming records are divided
-into partitions by a hash of (repo, directory of the file); each partition has a fingerprint: its
-number of files and the sum of their row hashes. Addition commutes, so fingerprints are computed
-with a map-side combine and do not depend on order, on how files were spread over tasks or on
-retries. A run
+A record is a file seen by an attempt of a run. The state keeps, for each file, the digest that the
+last *successful* attempt recorded. State and incoming records are divided into partitions by a
+hash of (repo, directory of the file) and some bits of the file's own hash, so that files of one
+directory stay together and a directory that holds a third of all files is still spread over
+``SPREAD`` partitions. Each partition has a fingerprint, its number of files and the sum of their
+row hashes, which is stored beside the state. Addition commutes, so fingerprints are computed with
+a map-side combine and do not depend on order, on how files were spread over tasks or on retries.
+A run
 
 1. reduces the incoming records to one row per file (the latest ``recorded_at``),
-2. compares the fingerprints and drops partitions that did not change,
-3. compares digests file by file in the remaining partitions only,
-4. after success replaces each changed partition of the state by dynamic partition overwrite.
+2. compares their fingerprints with the stored ones (a few numbers per partition) and drops
+   partitions that did not change; neither files nor state are joined for that,
+3. reads the state of the remaining partitions only, by their folders, and compares digests,
+4. after success writes the new content of each changed partition by dynamic partition overwrite
+   into a folder of the next version, then the fingerprints of all partitions with their versions,
+   and at last renames a pointer to that version over the old one. What no version names any more
+   is deleted afterwards.
 
-Each partition is replaced as a whole by the commit of the write job, and the fingerprint is
-derived from the partition itself, so a run that dies before its commit leaves the old state: the
-next run finds the same difference and nothing is skipped. A run repeated after its commit finds
-no difference and nothing is repeated.
+An attempt that stopped half-way has other fingerprints than the whole: its partitions are then
+compared file by file, which costs time and changes no result.
+
+The pointer is the commit. A run that dies before leaves the old version untouched, whatever it
+wrote, and its repetition overwrites that; one that dies after it leaves only rubbish, which the
+next commit deletes. So nothing is skipped, and a run repeated after its commit finds no difference.
 
 Edge cases: rows with a null ``repo``, ``file_path`` or digest identify nothing and are ignored;
 repeated rows and ties on ``recorded_at`` are settled by later ``ingested_at``, then the larger
-digest; an empty input gives no rows; columns other than those named are ignored, whatever they
-are called.
+digest; an empty input gives no rows; a state that was never written is empty; columns other than
+those named are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -28,10 +36,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.session import work_path
+from sievework.session import cut, names_in, read_text, remove, write_text
 
 KEYS = ("repo", "file_path")
-STATE = "repo string, file_path string, digest string, run_id int, attempt int, recorded_at timestamp, part int"
+STATE = "repo string, file_path string, digest string, run_id int, attempt int, recorded_at timestamp, part int, version int"
+FINGERPRINT = "part int, version int, files long, hash_sum decimal(38,0)"
+#: Partitions over which the files of one directory are spread, and files that write one partition.
+SPREAD, WRITERS = 8, 4
 
 
 def digest_key(content_hash: Column) -> Column:
@@ -41,15 +52,15 @@ def digest_key(content_hash: Column) -> Column:
 
 
 def part_of(partitions: int) -> Column:
-    """The state partition of a file: files of one directory stay together."""
+    """The state partition of a file: one of a few that belong to its directory."""
     folder = F.regexp_replace("file_path", r"[^/]*$", "")
-    return F.pmod(F.xxhash64("repo", folder), F.lit(partitions)).cast("int")
+    return F.pmod(F.xxhash64("repo", folder) + F.pmod(F.xxhash64("file_path"), F.lit(SPREAD)), F.lit(partitions)).cast("int")
 
 
 def fingerprints(df: DataFrame) -> DataFrame:
     """Per partition: the number of files and the sum of their row hashes."""
     row_hash = F.xxhash64("repo", "file_path", "digest").cast("decimal(38,0)")
-    return df.groupBy("part").agg(F.count(F.lit(1)).alias("files"), F.sum(row_hash).alias("hash_sum"))
+    return df.groupBy("part").agg(F.count(F.lit(1)).alias("files"), F.sum(row_hash).cast("decimal(38,0)").alias("hash_sum"))
 
 
 def _records(file_hashes: DataFrame, partitions: int) -> DataFrame:
@@ -64,7 +75,7 @@ def _records(file_hashes: DataFrame, partitions: int) -> DataFrame:
 
 
 def _latest(records: DataFrame, *order: str) -> DataFrame:
-    """One row per file: the greatest by ``order``; a hash aggregate, never a sort of a hot key."""
+    """One row per file: the greatest by ``order``, reduced in each task before the shuffle."""
     best = F.max(F.struct(*order, "digest", "run_id", "attempt", "recorded_at")).alias("best")
     return records.groupBy(*KEYS, "part").agg(best).select(
         *KEYS, *[F.col(f"best.{c}").alias(c) for c in ("digest", "run_id", "attempt", "recorded_at")], "part"
@@ -88,58 +99,97 @@ def pending_records(file_hashes: DataFrame, index_runs: DataFrame, partitions: i
     return _latest(records.withColumn("at", F.col("recorded_at")), "at", "ingested_at")
 
 
-def write_state(state: DataFrame, path: str) -> None:
-    """Replace those partitions of the state that ``state`` has rows for, each as a whole."""
-    (
-        state.repartition("part")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("part")
-        .parquet(path)
-    )
+COLUMNS = (*KEYS, "digest", "run_id", "attempt", "recorded_at", "part")
+
+
+def current_version(spark: SparkSession, path: str) -> int:
+    """The committed version of a state; 0 if there is none."""
+    return int(read_text(spark, f"{path}/_current") or 0)
+
+
+def stored_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """part, version, files, hash_sum of the committed state: one row per partition."""
+    version = current_version(spark, path)
+    return spark.read.schema(FINGERPRINT).parquet(f"{path}/_fingerprints/{version}") if version else spark.createDataFrame([], FINGERPRINT)
+
+
+def read_state(spark: SparkSession, path: str, parts: list[int] | None = None) -> DataFrame:
+    """The committed state, or some partitions of it: only their folders are listed and read."""
+    live = stored_fingerprints(spark, path).select("part", "version").collect()  # one row per partition
+    folders = [f"{path}/data/part={r.part}/version={r.version}" for r in live if parts is None or r.part in set(parts)]
+    if not folders:
+        return spark.createDataFrame([], STATE)
+    return spark.read.schema(STATE).option("basePath", f"{path}/data").parquet(*folders)
+
+
+def write_partitions(rows: DataFrame, path: str, version: int) -> None:
+    """Step 1 of a commit: each partition of ``rows`` as a whole into the folder of a version; repeatable."""
+    salted = rows.select(*COLUMNS).withColumn("version", F.lit(version)).repartition("part", F.pmod(F.xxhash64("file_path"), F.lit(WRITERS)))
+    salted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "version").parquet(f"{path}/data")
+
+
+def write_fingerprints(spark: SparkSession, path: str, version: int, parts: list[int]) -> None:
+    """Step 2: fingerprints of the written partitions, taken from what was written, and the old ones of all others."""
+    folders = [f"{path}/data/part={p}/version={version}" for p in parts]
+    fresh = fingerprints(spark.read.schema(STATE).option("basePath", f"{path}/data").parquet(*folders)).withColumn("version", F.lit(version)) if folders else spark.createDataFrame([], FINGERPRINT)
+    kept = stored_fingerprints(spark, path).where(~F.col("part").isin(parts))
+    fresh.select("part", "version", "files", "hash_sum").unionByName(kept).coalesce(1).write.mode("overwrite").parquet(f"{path}/_fingerprints/{version}")
+
+
+def swap_pointer(spark: SparkSession, path: str, version: int) -> None:
+    """Step 3, the commit."""
+    write_text(spark, f"{path}/_current", str(version))
+
 
+def sweep(spark: SparkSession, path: str) -> None:
+    """Step 4: delete folders that the committed version does not name."""
+    version = current_version(spark, path)
+    live = {(r.part, r.version) for r in stored_fingerprints(spark, path).collect()}
+    for part in names_in(spark, f"{path}/data"):
+        if part.startswith("part="):
+            for v in names_in(spark, f"{path}/data/{part}"):
+                if v.startswith("version=") and (int(part[5:]), int(v[8:])) not in live:
+                    remove(spark, f"{path}/data/{part}/{v}")
+    for v in names_in(spark, f"{path}/_fingerprints"):
+        if v != str(version):
+            remove(spark, f"{path}/_fingerprints/{v}")
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STATE).parquet(path)
 
+def write_state(rows: DataFrame, path: str) -> None:
+    """Replace those partitions of the state that ``rows`` has rows for, each as a whole, by one commit."""
+    spark = rows.sparkSession
+    version = current_version(spark, path) + 1
+    rows = cut(rows.select(*COLUMNS))
+    parts = [r.part for r in rows.select("part").distinct().collect()]  # at most as many as partitions
+    write_partitions(rows, path, version)
+    write_fingerprints(spark, path, version, parts)
+    swap_pointer(spark, path, version)
+    sweep(spark, path)
 
-def changed_partitions(incoming: DataFrame, state: DataFrame) -> DataFrame:
-    """Partitions of the input whose fingerprint differs from that of the same files in the state.
 
-    Files that the input does not mention are left out of the comparison, so that an attempt which
-    stopped half-way touches only the partitions it saw.
-    """
-    known = state.join(incoming.select(*KEYS), list(KEYS), "left_semi")
-    a, b = fingerprints(incoming), fingerprints(known)
+def changed_partitions(incoming: DataFrame, stored: DataFrame) -> list[int]:
+    """Partitions of the input whose fingerprint differs from the stored one; at most as many as partitions."""
+    a, b = fingerprints(incoming).alias("a"), F.broadcast(stored).alias("b")  # one row per partition
     same = (F.col("a.files") == F.col("b.files")) & (F.col("a.hash_sum") == F.col("b.hash_sum"))
-    return a.alias("a").join(b.alias("b"), "part", "left").where(~F.coalesce(same, F.lit(False))).select("part")
+    return [r.part for r in a.join(b, "part", "left").where(~F.coalesce(same, F.lit(False))).select("part").collect()]
 
 
-def changed_files(incoming: DataFrame, state: DataFrame) -> DataFrame:
-    """New and changed files, read only from partitions whose fingerprint changed."""
-    parts = changed_partitions(incoming, state)
-    now = incoming.join(parts, "part", "left_semi").alias("now")
-    old = state.join(parts, "part", "left_semi").select(*KEYS, F.col("digest").alias("old_digest"))
-    return now.join(old, list(KEYS), "left").where(
+def changed_files(spark: SparkSession, incoming: DataFrame, path: str) -> DataFrame:
+    """New and changed files, compared only in partitions whose fingerprint changed."""
+    incoming = cut(incoming)
+    parts = changed_partitions(incoming, stored_fingerprints(spark, path))
+    old = read_state(spark, path, parts).select(*KEYS, F.col("digest").alias("old_digest"))
+    return incoming.where(F.col("part").isin(parts)).join(old, list(KEYS), "left").where(
         F.col("old_digest").isNull() | (F.col("old_digest") != F.col("digest"))
     ).select(*KEYS, "digest", "old_digest", "run_id", "attempt", "recorded_at", "part")
 
 
 def apply_changes(spark: SparkSession, incoming: DataFrame, path: str) -> int:
-    """Bring the state at ``path`` up to date; returns the number of partitions replaced.
-
-    The new content of the changed partitions is written to a table of its own first: a partition
-    is never read while it is being replaced, and the overwrite can be repeated after a failure.
-    """
-    state = read_state(spark, path)
-    parts = changed_partitions(incoming, state)
-    cols = [*KEYS, "digest", "run_id", "attempt", "recorded_at", "part"]
-    fresh = incoming.join(parts, "part", "left_semi").select(*cols)
-    kept = state.join(parts, "part", "left_semi").join(fresh, list(KEYS), "left_anti").select(*cols)
-    staged = work_path(spark, "state-staged")
-    fresh.unionByName(kept).write.parquet(staged)
-    rows = spark.read.schema(STATE).parquet(staged)
-    count = rows.select("part").distinct().count()
-    if count:
-        write_state(rows, path)
-    return count
+    """Bring the state at ``path`` up to date; returns the number of partitions replaced."""
+    changed = cut(changed_files(spark, incoming, path))
+    parts = [r.part for r in changed.select("part").distinct().collect()]  # at most as many as partitions
+    if parts:
+        fresh = changed.select(*COLUMNS)
+        kept = read_state(spark, path, parts).join(fresh, list(KEYS), "left_anti").select(*COLUMNS)
+        write_state(fresh.unionByName(kept), path)
+    return len(parts)

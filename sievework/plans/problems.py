@@ -16,7 +16,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashes, runs = table(spark, sf_dir, "file_hashes"), table(spark, sf_dir, "index_runs")
     path = work_path(spark, "p4-state")
     inc.write_state(inc.committed_state(hashes, runs, PARTITIONS), path)
-    found = inc.changed_files(inc.pending_records(hashes, runs, PARTITIONS), inc.read_state(spark, path))
+    found = inc.changed_files(spark, inc.pending_records(hashes, runs, PARTITIONS), path)
     return found.select("repo", "file_path").distinct()
 
 

@@ -98,12 +98,12 @@ def test_incremental_new_changed_and_kept(spark, tmp_path):
     path = str(tmp_path / "state")
     inc.write_state(inc.committed_state(hashes, runs, 4), path)
     pending = inc.pending_records(hashes, runs, 4)
-    found = inc.changed_files(pending, inc.read_state(spark, path))
+    found = inc.changed_files(spark, pending, path)
     assert rows(found, "file_path", "digest") == [("changed", "dd"), ("new", "ee")]
     # applying twice changes nothing the second time, and nothing is skipped or repeated
     assert inc.apply_changes(spark, pending, path) > 0
     assert inc.apply_changes(spark, pending, path) == 0
-    assert inc.changed_files(pending, inc.read_state(spark, path)).count() == 0
+    assert inc.changed_files(spark, pending, path).count() == 0
     assert rows(inc.read_state(spark, path), "file_path", "digest") == [("changed", "dd"), ("gone", "cc"), ("kept", "aa"), ("new", "ee"), ("old", "11")]
 
 
@@ -113,17 +113,46 @@ def test_incremental_recovers_from_a_failed_write(spark, tmp_path):
     path = str(tmp_path / "state")
     inc.write_state(inc.committed_state(hashes, runs, 4), path)
     pending = inc.pending_records(hashes, runs, 4)
-    # a run that died after replacing some partitions only
-    some = pending.where("part = 0").select(*inc.KEYS, "digest", "run_id", "attempt", "recorded_at", "part")
-    old = inc.read_state(spark, path).where("part = 0").join(some, list(inc.KEYS), "left_anti").select(*some.columns)
-    staged = str(tmp_path / "staged")
-    some.unionByName(old).write.parquet(staged)
-    inc.write_state(spark.read.schema(inc.STATE).parquet(staged), path)
-    left = inc.changed_files(pending, inc.read_state(spark, path))
-    assert left.count() == 30 - some.count()
-    inc.apply_changes(spark, pending, path)
+    cols = list(inc.COLUMNS)
+    old = rows(inc.read_state(spark, path), "file_path", "digest")
+
+    def dies(*args):
+        raise RuntimeError("killed")
+
+    for step in ("write_partitions", "write_fingerprints", "swap_pointer"):  # killed before each step, the pointer being the last
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(inc, step, dies)
+            with pytest.raises(RuntimeError):
+                inc.apply_changes(spark, pending, path)
+        assert rows(inc.read_state(spark, path), "file_path", "digest") == old
+        assert inc.changed_files(spark, pending, path).count() == 30
+    # killed while partitions are being written: some are there, others are not
+    inc.write_partitions(pending.where("part = 0").select(*cols), path, inc.current_version(spark, path) + 1)
+    assert rows(inc.read_state(spark, path), "file_path", "digest") == old
+    with pytest.MonkeyPatch.context() as m:  # killed after the commit, before the old folders are deleted
+        m.setattr(inc, "sweep", dies)
+        with pytest.raises(RuntimeError):
+            inc.apply_changes(spark, pending, path)
+    assert inc.changed_files(spark, pending, path).count() == 0 and inc.apply_changes(spark, pending, path) == 0
     assert inc.read_state(spark, path).where("digest = 'b'").count() == 30
     assert inc.read_state(spark, path).count() == 50
+    inc.sweep(spark, path)
+    assert inc.read_state(spark, path).count() == 50
+    kept = [(p, v) for p in os.listdir(f"{path}/data") if p.startswith("part=") for v in os.listdir(f"{path}/data/{p}") if v.startswith("version=")]
+    assert sorted(kept) == sorted((f"part={r.part}", f"version={r.version}") for r in inc.stored_fingerprints(spark, path).collect())
+
+
+def test_unchanged_partitions_are_not_read(spark, tmp_path):
+    hashes = spark.createDataFrame([h(1, f"d{i}/f", "a") for i in range(40)] + [h(2, f"d{i}/f", "b" if i == 3 else "a", 5) for i in range(40)], HASHES)
+    runs = run_rows(spark, [(1, 1, "succeeded"), (2, 1, "running")])
+    path = str(tmp_path / "state")
+    inc.write_state(inc.committed_state(hashes, runs, 16), path)
+    pending = inc.pending_records(hashes, runs, 16)
+    assert len(inc.changed_partitions(pending, inc.stored_fingerprints(spark, path))) == 1
+    found = inc.changed_files(spark, pending, path)
+    assert rows(found, "file_path") == [("d3/f",)]
+    read = [f for f in found.inputFiles() if "/data/part=" in f]
+    assert read and len({f.split("/part=")[1].split("/")[0] for f in read}) == 1
 
 
 def test_incremental_empty_and_extra_columns(spark, tmp_path):
@@ -132,9 +161,9 @@ def test_incremental_empty_and_extra_columns(spark, tmp_path):
     path = str(tmp_path / "state")
     inc.write_state(inc.committed_state(empty, runs, 4), path)
     os.makedirs(path, exist_ok=True)
-    assert inc.changed_files(inc.pending_records(empty, runs, 4), inc.read_state(spark, path)).count() == 0
+    assert inc.changed_files(spark, inc.pending_records(empty, runs, 4), path).count() == 0
     one = spark.createDataFrame([h(1, "a", "q")], HASHES).withColumn("part", F.lit("x")).withColumn("best", F.lit(1))
-    assert inc.changed_files(inc.pending_records(one, runs, 4), inc.read_state(spark, path)).count() == 1
+    assert inc.changed_files(spark, inc.pending_records(one, runs, 4), path).count() == 1
 
 
 # ---------------------------------------------------------------- graph and search
