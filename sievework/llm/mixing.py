@@ -26,13 +26,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.session import cut
 
 BINS = 4096
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Session setting that names the vocabulary file, the same on every machine, and the file where it is unset.
+TOKENIZER_CONF, TOKENIZER = "sievework.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Split pattern that belongs to the vocabulary (fixed value, published with it).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -41,20 +42,31 @@ def source_name(source: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(source), r"[\s-]+", "_"))
 
 
-def token_counter(path: str = TOKENIZER):
-    """A pandas UDF that counts tokens; the vocabulary is loaded once per Python worker."""
+_CODECS: dict[str, object] = {}
 
-    @F.pandas_udf("long")
-    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def codec(path: str):
+    """The tokenizer of a vocabulary file, loaded once per Python worker."""
+    if path not in _CODECS:
         import base64
 
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        codec = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _CODECS[path] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _CODECS[path]
+
+
+def token_counter(path: str | None = None):
+    """A pandas UDF that counts tokens."""
+    spark = SparkSession.active()
+    path = path or spark.conf.get(TOKENIZER_CONF, TOKENIZER)
+
+    @F.pandas_udf("long")
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            yield s.map(lambda t: 0 if t is None else len(codec.encode_ordinary(t)))
+            yield s.map(lambda t: 0 if t is None else len(codec(path).encode_ordinary(t)))
 
     return count
 
@@ -82,19 +94,21 @@ def water_fill(tokens: Mapping[str, int], weights: Mapping[str, float], caps: Ma
     return given
 
 
-def sized_texts(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Distinct texts of known sources: source, text_id, doc_id (the lowest), tokens."""
-    known = targets.select(source_name(F.col("source")).alias("source")).where("source is not null").distinct()
+def sized_texts(documents: DataFrame, targets: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Distinct texts of known sources: source, text_id, doc_id (the lowest), tokens.
+
+    Tokens are counted where texts are read; what is shuffled per row is a hash and three numbers, never a text.
+    """
+    known = F.broadcast(targets.select(source_name(F.col("source")).alias("source")).where("source is not null").distinct())  # configuration
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_name(F.col("source")).alias("source"), F.col("text").alias("body"))
-    texts = texts.where("trim(body) != ''").join(known, "source", "left_semi").withColumn("text_id", F.sha2("body", 256))
-    owners = texts.groupBy("text_id").agg(F.min(F.struct("doc_id", "source")).alias("owner"))
-    owners = owners.select("text_id", F.col("owner.doc_id").alias("doc_id"), F.col("owner.source").alias("source"))
-    chosen = texts.select("doc_id", "source", "text_id", "body").join(owners, ["doc_id", "source", "text_id"], "left_semi").dropDuplicates(["text_id"])
-    return chosen.select("source", "text_id", "doc_id", token_counter(tokenizer)("body").alias("tokens")).where("tokens > 0")
+    texts = texts.where("trim(body) != ''").join(known, "source", "left_semi")
+    sized = texts.select("source", F.sha2("body", 256).alias("text_id"), "doc_id", token_counter(tokenizer)("body").alias("tokens")).where("tokens > 0")
+    owner = F.min(F.struct("doc_id", "source", "tokens")).alias("owner")
+    return sized.groupBy("text_id").agg(owner).select("owner.source", "text_id", "owner.doc_id", "owner.tokens")
 
 
-def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
-    """Per source: target_weight, max_repeats, tokens, give (tokens to use), passes, rest (tokens of the last pass)."""
+def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None, share: float | None = None) -> DataFrame:
+    """For ``total`` tokens, or ``share`` times all tokens, or as many as all weights can be met with; per source: target_weight, max_repeats, tokens, give (tokens to use), passes, rest (tokens of the last pass)."""
     spark = sizes.sparkSession
     t = targets.select(source_name(F.col("source")).alias("source"), "target_weight", "max_repeats").groupBy("source").agg(F.sum("target_weight").alias("w"), F.max("max_repeats").alias("m"))
     have = sizes.groupBy("source").agg(F.sum("tokens").alias("tokens"))
@@ -102,7 +116,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> Da
     tokens = {r.source: int(r.tokens or 0) for r in conf}
     weights = {r.source: float(r.w or 0) for r in conf}
     caps = {r.source: int(r.m or 0) for r in conf}
-    give = water_fill(tokens, weights, caps, total)
+    give = water_fill(tokens, weights, caps, share * sum(tokens.values()) if total is None and share is not None else total)
     rows = []
     for s in sorted(tokens):
         g = give.get(s, 0.0)
@@ -140,8 +154,8 @@ def report(selection: DataFrame, plan_df: DataFrame) -> DataFrame:
     )
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 1, tokenizer: str = TOKENIZER):
+def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 1, tokenizer: str | None = None, share: float | None = None):
     """(plan, selection) of a mixture."""
     sizes = cut(sized_texts(documents, targets, tokenizer))
-    p = plan(sizes, targets, total)
+    p = plan(sizes, targets, total, share)
     return p, select(sizes, p, seed)

@@ -1,8 +1,8 @@
 """Percentiles per group over very large numeric columns.
 
 ``exact_percentiles`` is a full distributed sort: rows are range-partitioned and sorted by
-(groups, value), so a group that holds a third of all rows is spread over a third of the
-partitions. Per partition the rows of each group are counted; running sums of these counts give
+(groups, value, salt), so a group, or a single value, that holds a third of all rows is spread over
+a third of the partitions. Per partition the rows of each group are counted; running sums of these counts give
 each group's offset in each partition, hence the partition and the row at which each target
 position lies. The neighbouring order statistics are looked up by row number and interpolated
 exactly: the error is zero.
@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from sievework.session import cut, small
 
 
+SALTS = 4096
+
+
 def name_of(p: float) -> str:
     return "p" + f"{100 * p:g}".replace(".", "_")
 
@@ -38,7 +41,9 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, percenti
     g = [f"g{i}" for i in range(len(groups))]
     v = F.col(value).cast("double")
     rows = df.select(*[F.col(c).alias(a) for c, a in zip(groups, g, strict=True)], v.alias("v")).where("v is not null and not isnan(v)")
-    ordered = cut(rows.repartitionByRange(*[F.col(c) for c in (*g, "v")]).sortWithinPartitions(*g, "v"))
+    # equal values are interchangeable: a salt, the same in each attempt of a task, lets a range end within them
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    ordered = cut(rows.repartitionByRange(*[F.col(c) for c in (*g, "v", "salt")]).sortWithinPartitions(*g, "v").drop("salt"))
     # in the written table the id is (partition, row in the partition), each in sort order
     numbered = ordered.withColumn("at", F.monotonically_increasing_id())
 
@@ -54,7 +59,7 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, percenti
         .select(*g, "n", "t.p", (F.col("t.pos") - F.floor("t.pos")).alias("part_way"), (F.col("rank") - F.col("t.pos") > 0).alias("upper"), (F.col("first") + F.col("rank") - F.col("offset")).alias("at"))
         .distinct()
     )
-    targets = small(cut(targets))
+    targets = small(cut(targets), 8 << 20)
     found = targets.join(numbered.select("at", "v"), "at").groupBy(*g, "n", "p").agg(
         F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("part_way").alias("part_way")
     )

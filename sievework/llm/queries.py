@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.llm import handwritten, leakage, mixing, neighbours, percentiles, splitting, truncation
@@ -21,10 +21,11 @@ def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per result with its category and day; late and repeated deliveries count once."""
     results = table(spark, sf_dir, "task_results").select("result_id", "task_id", "latency_ms", "finished_at")
     usable = (F.col("latency_ms") > 0) & ~F.isnan("latency_ms") & ~F.col("latency_ms").isin(*PLACEHOLDERS) & (F.col("latency_ms") < float("inf"))
-    once = results.where(usable).groupBy("result_id").agg(F.max(F.struct("latency_ms", "task_id", "finished_at")).alias("r")).select("r.*")
-    tasks = table(spark, sf_dir, "benchmark_tasks").groupBy(F.col("id").alias("task_id")).agg(F.max("category").alias("category"))
+    # copies of a result differ in ingested_at only; buffers of fixed width make this a hash aggregate
+    once = results.where(usable).groupBy("result_id").agg(F.max("latency_ms").alias("latency_ms"), F.max(F.xxhash64("task_id")).alias("task"), F.max("finished_at").alias("finished_at"))
+    tasks = table(spark, sf_dir, "benchmark_tasks").groupBy(F.xxhash64("id").alias("task")).agg(F.max("category").alias("category"))
     category = F.coalesce(F.regexp_replace(F.lower(F.trim("category")), "-", "_"), F.lit("unknown"))
-    return once.join(tasks, "task_id", "left").select(category.alias("category"), F.date_format("finished_at", "yyyy-MM-dd").alias("day"), "latency_ms")
+    return once.join(tasks, "task", "left").select(category.alias("category"), F.date_format("finished_at", "yyyy-MM-dd").alias("day"), "latency_ms")
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,12 +37,29 @@ def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles per category from the partial counts of the single days."""
     days = percentiles.partial_counts(latencies(spark, sf_dir), ["category", "day"], "latency_ms", ERROR)
-    return percentiles.combined_percentiles(days, ["category"], PERCENTILES, ERROR)
+    got = percentiles.combined_percentiles(days, ["category"], PERCENTILES, ERROR)
+    return got.withColumns({percentiles.name_of(p): F.round(percentiles.name_of(p), 6) for p in PERCENTILES})
+
+
+def p1_combined_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each percentile combined from days is within ERROR of the exact order statistic of its rank."""
+    combined = p1_combined_days(spark, sf_dir)
+    names = [percentiles.name_of(p) for p in PERCENTILES]
+    values = latencies(spark, sf_dir)
+    below = values.join(F.broadcast(combined), "category")  # one row per category
+    share = lambda p, name: F.struct(
+        F.count_if(F.col("latency_ms") < F.col(name) * (1 - ERROR - 1e-9)).alias("low"), F.count_if(F.col("latency_ms") <= F.col(name) * (1 + ERROR + 1e-9)).alias("high"), F.floor(F.lit(p) * (F.max("n") - 1)).alias("at"))
+    held = below.groupBy("category").agg(F.max("n").alias("n"), *[share(p, n).alias(n) for p, n in zip(PERCENTILES, names, strict=True)])
+    return held.select("category", "n", *[((F.col(f"{n}.low") <= F.col(f"{n}.at")) & (F.col(f"{n}.at") < F.col(f"{n}.high"))).alias(n) for n in names])
 
 
 LIMITS = splitting.Limits(lines=200, bytes=24_576, overlap=10)
 
 
+PIECES = ["item_id", "piece", "line_start", "line_end", "n_bytes", "n_repeated"]
+PIECES_DDL = "item_id string, piece int, line_start int, line_end int, n_bytes long, n_repeated long"
+
+
 def _over(content: str) -> F.Column:
     """Whether a text is over a limit; decided in the JVM, so that only large items reach Python."""
     lines = F.length(content) - F.length(F.replace(F.col(content), F.lit("\n"), F.lit(""))) + F.when(F.col(content).endswith("\n"), 0).otherwise(1)
@@ -54,10 +72,14 @@ def chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def cut_up(frames):
         for f in frames:
-            rows = [(i, n, a + s - 1, a + e - 1, len(t.encode())) for i, a, c in zip(f["id"], f["first"], f["content"], strict=True) for n, (s, e, t) in enumerate(splitting.split(c, LIMITS))]
-            yield pd.DataFrame(rows, columns=["item_id", "piece", "line_start", "line_end", "n_bytes"])
-
-    out = chunks.mapInPandas(cut_up, "item_id string, piece int, line_start int, line_end int, n_bytes long")
+            rows = [
+                (i, n, a + s - 1, a + e - 1, len(t.encode()), r)
+                for i, a, c in zip(f["id"], f["first"], f["content"], strict=True)
+                for n, (s, e, t, r) in enumerate(splitting.placed_pieces(c, LIMITS))
+            ]
+            yield pd.DataFrame(rows, columns=PIECES)
+
+    out = chunks.mapInPandas(cut_up, PIECES_DDL)
     return out.select(F.lit("chunk").alias("item_type"), "*")
 
 
@@ -72,11 +94,11 @@ def ground_truth_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         for f in frames:
             rows = []
             for i, s, e, c in zip(f["item_id"], f["line_start"], f["line_end"], f["content"], strict=True):
-                rows += [(i, n, a, b, None) for n, (a, b) in enumerate(splitting.split_range(s, e, None if c is None else c.split("\n"), LIMITS))]
-            yield pd.DataFrame(rows, columns=["item_id", "piece", "line_start", "line_end", "n_bytes"])
+                rows += [(i, n, a, b, None, None) for n, (a, b) in enumerate(splitting.split_range(s, e, None if c is None else c.split("\n"), LIMITS))]
+            yield pd.DataFrame(rows, columns=PIECES)
 
     joined = over.join(texts, ["repo", "file_path"], "left").select("item_id", "line_start", "line_end", "content")
-    out = joined.mapInPandas(cut_up, "item_id string, piece int, line_start int, line_end int, n_bytes long")
+    out = joined.mapInPandas(cut_up, PIECES_DDL)
     return out.select(F.lit("ground_truth").alias("item_type"), "*")
 
 
@@ -84,6 +106,22 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_pieces(spark, sf_dir).unionByName(ground_truth_pieces(spark, sf_dir))
 
 
+def p2_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per item whether its pieces cover it without a gap, keep to the limits and overlap as specified.
+
+    A piece starts as many lines before the end of its predecessor as specified, or fewer where lines are so long that
+    more would not fit; within one line bytes are repeated.
+    """
+    w = Window.partitionBy("item_type", "item_id").orderBy("piece")
+    p = p2_pieces(spark, sf_dir).withColumn("before", F.lag("line_end").over(w)).withColumn("last", F.lead("piece").over(w).isNull())
+    lines = F.col("line_end") - F.col("line_start") + 1
+    shared = F.col("before") - F.col("line_start") + 1
+    gap = F.col("before").isNotNull() & (F.col("line_start") > F.col("before") + 1)
+    fits = (lines <= LIMITS.lines) & (F.coalesce("n_bytes", F.lit(0)) <= LIMITS.bytes)
+    overlap = F.col("before").isNull() | (shared == LIMITS.overlap) | (F.col("n_repeated") > 0) & (shared < LIMITS.overlap)
+    return p.groupBy("item_type", "item_id").agg((~F.bool_or(gap)).alias("covers"), F.bool_and(fits).alias("fits"), F.bool_and(overlap).alias("overlaps"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece > 0").select("item_type", "item_id").distinct()
 
@@ -154,6 +192,16 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(chosen, p)
 
 
+#: A request of this many times all tokens: small sources reach their cap, and what they cannot give falls to the others, in several rounds.
+LARGE_REQUEST = 1.2
+
+
+def p8_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of a size at which sources are clamped at their cap and their weight is redistributed."""
+    p, chosen = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), share=LARGE_REQUEST)
+    return mixing.report(chosen, p)
+
+
 def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
@@ -177,8 +225,10 @@ _LATENCIES = """
 QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_combined_days": p1_combined_days,
+    "p1_combined_error": p1_combined_error,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_checks": p2_checks,
     "p3_found": p3_found,
     "p3_nearest": p3_nearest,
     "p5_found": p5_found,
@@ -190,17 +240,28 @@ QUERIES = {
     "p7_leaks": p7_leaks,
     "p7_items": p7_items,
     "p8_shares": p8_shares,
+    "p8_clamped": p8_clamped,
     "p8_selection": p8_selection,
     "p9_found": p9_found,
     "p9_rates": p9_rates,
 }
 
-SQL = {
-    "p1_percentiles": f"""SELECT category, day, count(*) AS n, {', '.join(f"round(quantile_cont(latency_ms, {p}), 6) AS {percentiles.name_of(p)}" for p in PERCENTILES)}
-        FROM ({_LATENCIES}) GROUP BY category, day""",
-    "p2_found": """
+_OVER = """
         SELECT DISTINCT 'chunk' AS item_type, id AS item_id FROM chunks
         WHERE length(content) - length(replace(content, chr(10), '')) + CASE WHEN content LIKE '%' || chr(10) THEN 0 ELSE 1 END > 200 OR strlen(content) > 24576
         UNION SELECT DISTINCT 'ground_truth', id || ':' || g.file_path || ':' || g.line_start || ':' || g.line_end
-        FROM (SELECT id, unnest(ground_truth) AS g FROM benchmark_tasks) WHERE g.line_end - g.line_start + 1 > 200""",
+        FROM (SELECT id, unnest(ground_truth) AS g FROM benchmark_tasks) WHERE g.line_end - g.line_start + 1 > 200"""
+
+SQL = {
+    "p1_percentiles": f"""SELECT category, day, count(*) AS n, {', '.join(f"round(quantile_cont(latency_ms, {p}), 6) AS {percentiles.name_of(p)}" for p in PERCENTILES)}
+        FROM ({_LATENCIES}) GROUP BY category, day""",
+    "p1_combined_error": f"""SELECT category, count(*) AS n, {', '.join(f"true AS {percentiles.name_of(p)}" for p in PERCENTILES)}
+        FROM ({_LATENCIES}) GROUP BY category""",
+    "p1_combined_days": f"""WITH bins AS (
+            SELECT category, ceil(ln(latency_ms) / ln({(1 + ERROR) / (1 - ERROR)})) AS b, count(*) AS c FROM ({_LATENCIES}) GROUP BY category, b),
+        upto AS (SELECT *, sum(c) OVER (PARTITION BY category ORDER BY b) AS u, sum(c) OVER (PARTITION BY category) AS n FROM bins)
+        SELECT category, n::BIGINT AS n, {', '.join(f"max(CASE WHEN floor({p} * (n - 1)) >= u - c AND floor({p} * (n - 1)) < u THEN round(2 * pow({(1 + ERROR) / (1 - ERROR)}, b) / ({(1 + ERROR) / (1 - ERROR)} + 1), 6) END) AS {percentiles.name_of(p)}" for p in PERCENTILES)}
+        FROM upto GROUP BY category, n""",
+    "p2_found": _OVER,
+    "p2_checks": f"SELECT item_type, item_id, true AS covers, true AS fits, true AS overlaps FROM ({_OVER})",
 }
