@@ -6,12 +6,13 @@ Aho-Corasick automaton over all windows of ``SEED`` consecutive words of the eva
 each text once. Hits on one diagonal (same distance between the word's place in the text and in the
 item) grow into passages: gaps in which no two neighbouring words differ are bridged, so single
 replaced words do not matter. Passages of at least ``PASSAGE`` words are chained in the item's
-order; a text leaks an item if its best chain holds at least ``SHARE`` of the item's words. Words in
+order, in time linear in their number; a text leaks an item if its best chain holds at least ``SHARE`` of the item's words. Words in
 another order, shared short phrases and a shared notice form no such chain.
 
 The items are held-out tests: a small table. They are read in blocks of at most ``ITEM_BLOCK``
 characters; each block is one automaton and one pass over the corpus, so what is sent to the
-workers is bounded whatever the number of items. Nothing is shuffled.
+workers is bounded whatever the number of items. A worker builds an automaton once and keeps it for
+all its tasks; items of the same words are one. Nothing is shuffled.
 
 Edge cases: null and empty texts or items leak nothing; items with fewer than ``SEED`` words are
 matched as a whole; very long texts are scanned whole, in linear time; repeated items and rows give
@@ -21,9 +22,13 @@ repeated pairs before ``distinct``; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +42,14 @@ WORD = re.compile(r"[^\W_]+")
 FOUND = "doc_id long, item_id long, words int, share double, start long, stop long, passages int"
 
 
-def words_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
-    """Normalised words and their places in the original text."""
-    found = [(m.group().lower(), m.span()) for m in WORD.finditer(text)]
-    return [w for w, _ in found], [s for _, s in found]
+def words_of(text: str) -> list[str]:
+    """Normalised words."""
+    return [w.lower() for w in WORD.findall(text)]
+
+
+def places_of(text: str) -> list[tuple[int, int]]:
+    """Where the words lie in the original text."""
+    return [m.span() for m in WORD.finditer(text)]
 
 
 class Matcher:
@@ -49,7 +58,13 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]]):
         import ahocorasick
 
-        self.items = [(i, words_of(t)[0]) for i, t in items]
+        same: dict[tuple[str, ...], list[int]] = {}
+        for i, t in items:
+            same.setdefault(tuple(words_of(t)), []).append(i)
+        self.items = [(ids, list(w)) for w, ids in same.items()]
+        self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in self.items for w in ws))}
+        self.numbers = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in self.items]
+        self.longest = max((len(ws) for _, ws in self.items), default=0)
         places = defaultdict(list)
         for n, (_, w) in enumerate(self.items):
             size = min(SEED, len(w))
@@ -69,11 +84,8 @@ class Matcher:
         starts = None
         for stop, (size, at) in self.automaton.iter(line):
             if starts is None:
-                starts, x = {}, 0
-                for n, w in enumerate(words):
-                    starts[x] = n
-                    x += len(w) + 1
-            j = starts[stop - size]
+                starts = [0, *accumulate(len(w) + 1 for w in words)]
+            j = bisect_left(starts, stop - size)
             for n, k in at:
                 found[n][j - k].add(k)
         return found
@@ -110,21 +122,30 @@ class Matcher:
 
     @staticmethod
     def chain(passages: list[tuple[int, int, int, int]]) -> tuple[int, list[tuple[int, int, int, int]]]:
-        """The most item words that passages cover in the order of both; overlaps count once."""
+        """The most item words that passages cover in the order of both; overlaps count once.
+
+        Passages come in the text's order. For each place of the item the best chain that ends there is kept, so a
+        passage looks at as many chains as the item has words, however often the text repeats it.
+        """
         best: list[tuple[int, int]] = []
+        ends: dict[int, int] = {}  # item place -> passage that ends the best chain up to there
+        top_at = -1
         for i, (a, b, x, y) in enumerate(passages):
             top = (b - a, -1)
-            for j in range(i):
-                a2, b2, x2, y2 = passages[j]
+            for b2, j in ends.items():
+                a2, _, x2, y2 = passages[j]
                 if a2 <= a and b2 <= b and x2 <= x and y2 <= y:
                     gain = best[j][0] + b - max(a, b2, a + max(0, y2 - x))
                     if gain > top[0]:
                         top = (gain, j)
             best.append(top)
+            if b not in ends or top[0] > best[ends[b]][0]:
+                ends[b] = i
+            if top_at < 0 or top[0] > best[top_at][0]:
+                top_at = i
         if not best:
             return 0, []
-        i = max(range(len(best)), key=lambda n: best[n][0])
-        total, way = best[i][0], []
+        total, way, i = best[top_at][0], [], top_at
         while i >= 0:
             way.append(passages[i])
             i = best[i][1]
@@ -132,18 +153,36 @@ class Matcher:
 
     def leaks(self, text: str) -> Iterator[tuple[int, int, float, int, int, int]]:
         """(item_id, words, share, start, stop, passages) with places in the original text."""
-        words, spans = words_of(text)
+        words, spans = words_of(text), None
         if self.empty or not words:
             return
+        margin = self.longest
+        padded = np.full(len(words) + 2 * margin, -1)
+        padded[margin : margin + len(words)] = [self.vocabulary.get(w, -1) for w in words]
         for n, diagonals in self.hits(words).items():
-            item_id, item = self.items[n]
-            need = SHARE * len(item)
-            if sum(len(s) for s in diagonals.values()) + SEED - 1 < need / 3:
-                continue  # seeds lie at a third of the covered places at least: bridged gaps are shorter than that
-            found = self.passages(words, n, diagonals)
-            total, way = self.chain(found)
-            if total >= need:
-                yield item_id, total, total / len(item), spans[way[0][2]][0], spans[way[-1][3] - 1][1], len(way)
+            ids, item = self.items[n]
+            # of two neighbouring words of a passage one is equal at least, so passages hold no more than twice the equal words
+            d = np.fromiter(diagonals, np.int64, len(diagonals))
+            equal = (padded[(d + margin)[:, None] + np.arange(len(item))] == self.numbers[n]).sum()
+            if 2 * equal + len(d) < SHARE * len(item):
+                continue
+            total, way = self.chain(self.passages(words, n, diagonals))
+            if total >= SHARE * len(item):
+                spans = spans or places_of(text)
+                for item_id in ids:
+                    yield item_id, total, total / len(item), spans[way[0][2]][0], spans[way[-1][3] - 1][1], len(way)
+
+
+#: Automata of this worker by block; a scan needs one at a time.
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def matcher_for(key: str, items: list[tuple[int, str]]) -> Matcher:
+    if key not in _MATCHERS:
+        if len(_MATCHERS) > 3:
+            _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(items)
+    return _MATCHERS[key]
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -154,10 +193,10 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     block: list[tuple[int, str]] = []
 
     def one_pass(block: list[tuple[int, str]]) -> DataFrame:
-        shared = documents.sparkSession.sparkContext.broadcast(block)
+        shared, key = documents.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(shared.value)
+            matcher = matcher_for(key, shared.value)
             for f in frames:
                 got = [(d, *x) for d, t in zip(f["doc_id"], f["text"], strict=True) for x in matcher.leaks(t)]
                 yield pd.DataFrame(got, columns=["doc_id", "item_id", "words", "share", "start", "stop", "passages"])

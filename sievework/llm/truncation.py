@@ -1,16 +1,18 @@
 """Text cut off by field limits or mid-transfer.
 
-``Automaton`` reads a text once with a stack: code fences, strings, comments and brackets inside
-code, inline code in prose, markup tags. What is left on the stack, broken characters and broken
-escapes at the end, and the form of the last line say how the text ends. Whether an unterminated
-last line is a cut or a habit depends on the source, so three baselines are counted over all
-distinct texts of the corpus: closing lines that recur (signatures, notes), first lines of
-texts that are titles, and lengths at which the texts of a source pile up (field limits). Words at the end
-of titles and list entries are looked up among the words of all other places of the corpus: a last
-word that occurs nowhere else was cut.
-
-Only counts are shuffled: closing lines, last words and lengths with their numbers of texts; words
-are counted with a map-side combine.
+A stack automaton reads a text once: code fences, strings, comments and brackets inside code; in
+prose inline code and brackets, which a blank line closes (inline markup does not reach over
+paragraphs), and markup tags, which stay open until they are closed. What is left on the stack,
+broken characters and broken escapes at the end, and the form of the last line say how the text
+ends. Whether an unterminated last line is a cut or a habit depends on the source, so three
+baselines are counted over all distinct texts of the corpus: closing lines that recur (signatures,
+notes), first lines of texts that are titles, and lengths at which the texts of a source pile up
+(field limits). Words at the end of titles and list entries are looked up among the words of all
+other places of the corpus: a last word that occurs nowhere else was cut.
+
+One scan reads the ends of texts and the words of its task, each once; only counts, closing lines,
+last words and lengths are shuffled. Texts whose end decides by itself take no part in the look-ups,
+so no key is shared by most rows.
 
 Edge cases: a null, empty or blank text is whole (there is nothing that could be cut); trailing
 white space is ignored; repeated rows are judged alike; a null source is a source of its own; very
@@ -22,7 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,10 @@ PROSE, CODE = 0, 1
 OPENERS, CLOSERS = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 CODE_TOKEN = re.compile(r'"""|\'\'\'|//|/\*|#|"|\'|`|[()\[\]{}]|\\.', re.S)
 TAG = re.compile(r"<(/?)([A-Za-z][\w-]*)(?:\s[^<>]*)?(/?)>|<[A-Za-z!/][^<>\n]*$")
+INLINE = re.compile(r"\n[ \t]*\n|`|[()\[\]]|" + TAG.pattern)
+CLOSED = re.compile(r"</([A-Za-z][\w-]*)")
+#: Distinct words that a task holds before it hands them on.
+TASK_WORDS = 500_000
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 
 
@@ -122,26 +128,37 @@ def code_rest(text: str) -> str:
 
 
 def prose_rest(text: str) -> str:
-    """What is open at the end of prose: '', 'code', 'tag' or 'bracket'; only the last paragraph counts for the latter."""
-    last = text[text.rfind("\n\n") + 2 :] if "\n\n" in text else text
-    if last.count("`") % 2:
-        return "code"
-    open_tags: list[str] = []
-    for m in TAG.finditer(text):
-        if m.group(2) is None:
-            return "tag"
-        name = m.group(2).lower()
-        if name in VOID or m.group(3):
-            continue
-        if m.group(1):
-            if name in open_tags:
-                del open_tags[len(open_tags) - 1 - open_tags[::-1].index(name) :]
-        elif f"</{name}" in text.lower():
-            open_tags.append(name)
-    if open_tags:
-        return "tag"
-    plain = re.sub(r"`[^`\n]*`", "", last)
-    return "bracket" if plain.count("(") > plain.count(")") or plain.count("[") > plain.count("]") else ""
+    """What is open at the end of prose: '', 'code', 'tag' or 'bracket'."""
+    closed = {x.lower() for x in CLOSED.findall(text)}  # a tag that nothing closes is a sign of another kind, as in List<String>
+    tags: list[str] = []
+    inline: list[str] = []
+    code = False
+    for m in INLINE.finditer(text):
+        t = m.group()
+        if t[0] == "\n":
+            inline.clear()
+            code = False
+        elif t == "`":
+            code = not code
+        elif t in OPENERS or t in CLOSERS:
+            if code:
+                continue
+            if t in OPENERS:
+                inline.append(OPENERS[t])
+            elif t in inline:
+                del inline[len(inline) - 1 - inline[::-1].index(t) :]
+        elif m.group(2) is None:
+            return "code" if code else "tag"
+        else:
+            name = m.group(2).lower()
+            if name in VOID or m.group(3):
+                continue
+            if not m.group(1):
+                if name in closed:
+                    tags.append(name)
+            elif name in tags:
+                del tags[len(tags) - 1 - tags[::-1].index(name) :]
+    return "code" if code else "tag" if tags else "bracket" if inline else ""
 
 
 def ending(text: str | None) -> tuple[str, str, str]:
@@ -215,27 +232,48 @@ def title_like(line: str) -> bool:
     return len(line) <= TITLE_CHARS and not SENTENCE.search(line) and line[:1].isupper() and " " in line
 
 
-def ending_reader():
-    """A pandas UDF over `ending`."""
+WORDS = re.compile(r"[^\W_]+")
+LAST_WORD = re.compile(r"[^\W_]+\s*$")
+ENDS_DDL = "doc_id long, source string, text_id long, size int, form string, closing string, word string, head string"
 
-    @F.pandas_udf("struct<form:string,closing:string,word:string,head:string>")
-    def read_ending(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in texts:
-            rows = []
-            for t in s:
-                form, closing, word = ending(t)
-                first = (t or "").lstrip().split("\n", 1)[0].strip()
-                rows.append((form, closing, word, first if title_like(first) else ""))
-            yield pd.DataFrame(rows, columns=["form", "closing", "word", "head"])
 
-    return read_ending
+def read_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per row how its text ends; and rows without doc_id and form with the words of the task's texts, but for the last of each."""
+
+    def rows(ids, sources, texts, sizes, ends) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            pa.array(ids, pa.int64()), pa.array(sources, pa.string()), pa.array(texts, pa.int64()), pa.array(sizes, pa.int32()),
+            *[pa.array([e[i] for e in ends], pa.string()) for i in range(4)],
+        ], names=["doc_id", "source", "text_id", "size", "form", "closing", "word", "head"])
+
+    def words(found: set[str]) -> pa.RecordBatch:
+        nothing = [None] * len(found)
+        out = rows(nothing, nothing, nothing, nothing, [(None, None, w, None) for w in found])
+        found.clear()
+        return out
+
+    found: set[str] = set()
+    for b in batches:
+        ends = []
+        for t in b.column("body").to_pylist():
+            t = t or ""
+            form, closing, word = ending(t)
+            first = t.lstrip().split("\n", 1)[0].strip()
+            ends.append((form, closing, word, first if title_like(first) else ""))
+            last = LAST_WORD.search(t[-400:]) and LAST_WORD.search(t)
+            found.update(WORDS.findall((t[: last.start()] if last else t).lower()))
+        yield rows(b.column("doc_id"), b.column("source"), b.column("text_id"), b.column("size"), ends)
+        if len(found) > TASK_WORDS:
+            yield words(found)
+    yield words(found)
 
 
 def judge(documents: DataFrame) -> DataFrame:
     """doc_id, source, form, truncated: for every row."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.lower(F.regexp_replace(F.trim("source"), r"[\s-]+", "_")), F.lit("")).alias("source"), F.col("text").alias("body"))
-    rows = rows.withColumn("e", ending_reader()("body")).withColumn("size", F.length("body")).withColumn("text_id", F.xxhash64("body"))
-    ends = cut(rows.select("doc_id", "source", "text_id", "size", "e.*"))
+    rows = rows.withColumn("text_id", F.xxhash64("body")).withColumn("size", F.length("body"))
+    read = cut(rows.mapInArrow(read_ends, ENDS_DDL))
+    ends, words = read.where("form is not null"), read.where("form is null").select("word")
     texts = ends.dropDuplicates(["source", "text_id"])
 
     totals = texts.groupBy("source").agg(F.count("*").alias("source_texts"))
@@ -243,6 +281,7 @@ def judge(documents: DataFrame) -> DataFrame:
     signs = signs.groupBy("closing").agg(F.sum("n").alias("sign_texts"), (F.sum("n") / F.sum("source_texts")).alias("sign_rate"))
     signs = cut(signs.where((F.col("sign_texts") >= SIGNATURE_TEXTS) & (F.col("sign_rate") >= SIGNATURE_SHARE)).select("closing", "sign_texts"))
     # what begins longer lines or sentences elsewhere was cut from one
+    # (recurring lines are few: each holds a share of its sources' texts)
     lines = documents.select(F.explode(F.split("text", r"\n|(?<=[.!?])\s+")).alias("line")).select(F.trim("line").alias("line"))
     begun = lines.join(signs, (F.substring("line", 1, 4) == F.substring("closing", 1, 4)) & F.col("line").startswith(F.col("closing")) & (F.length("line") > F.length("closing")))
     signs = signs.join(begun.select("closing").distinct(), "closing", "left_anti")
@@ -256,19 +295,17 @@ def judge(documents: DataFrame) -> DataFrame:
     mean = (F.sum("n").over(around) - F.col("n")) / F.lit(2.0 * LIMIT_AROUND)
     limits = sizes.withColumn("mean", mean).where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_TIMES * F.greatest("mean", F.lit(0.5)))).select("source", "size", F.lit(True).alias("at_limit"))
 
-    # last words that occur at no other place
-    asked = texts.where("form in ('list', 'short', 'title', 'closing', 'code') and word != ''").select("word").distinct()
-    bodies = documents.select(F.regexp_replace("text", r"[^\W_]+\s*$", "").alias("body")).where("body is not null")
-    words = bodies.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
-    known = words.join(asked, "word", "left_semi").groupBy("word").agg(F.count("*").alias("word_texts"))
-
-    out = (
-        ends.join(signs, "closing", "left")
-        .join(titles, "closing", "left")
-        .join(habits, "source", "left")
-        .join(limits, ["source", "size"], "left")
-        .join(known, "word", "left")
-    )
+    # last words that occur at some other place
+    open_forms = ("list", "short", "title", "closing", "code")
+    asked = texts.where(F.col("form").isin(*open_forms) & (F.col("word") != "")).select("word").distinct()
+    known = words.join(asked, "word", "left_semi").distinct().withColumn("word_texts", F.lit(1))
+
+    asking = ends.where(F.col("form").isin(*open_forms))
+    by_closing = signs.join(titles, "closing", "full")
+    closed = asking.where("closing != ''").join(by_closing, "closing", "left").unionByName(asking.where("closing = ''"), allowMissingColumns=True)
+    worded = closed.where("word != ''").join(known, "word", "left").unionByName(closed.where("word = ''"), allowMissingColumns=True)
+    out = worded.unionByName(ends.where(~F.col("form").isin(*open_forms)), allowMissingColumns=True)
+    out = out.join(F.broadcast(habits), "source", "left").join(limits, ["source", "size"], "left")  # habits: one row per source
     unknown = (F.col("word") != "") & F.col("word_texts").isNull()
     # a recurring line, or up to three words that open in lower case, a dash or a bracket: no sentence begins so
     signed = (F.coalesce("sign_texts", F.lit(0)) >= SIGNATURE_TEXTS) | F.col("closing").rlike(r"^(\p{Ll}+[.!]?( \p{L}+){0,2}|[-–—]{1,2} ?\p{L}{1,12}|\([^()]*\))$") & ~unknown
