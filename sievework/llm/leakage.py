@@ -63,8 +63,11 @@ class Matcher:
             same.setdefault(tuple(words_of(t)), []).append(i)
         self.items = [(ids, list(w)) for w, ids in same.items()]
         self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in self.items for w in ws))}
-        self.numbers = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in self.items]
+        self.sizes = np.array([len(ws) for _, ws in self.items])
         self.longest = max((len(ws) for _, ws in self.items), default=0)
+        self.numbers = np.full((len(self.items), self.longest), -2)
+        for n, (_, ws) in enumerate(self.items):
+            self.numbers[n, : len(ws)] = [self.vocabulary[w] for w in ws]
         places = defaultdict(list)
         for n, (_, w) in enumerate(self.items):
             size = min(SEED, len(w))
@@ -159,13 +162,18 @@ class Matcher:
         margin = self.longest
         padded = np.full(len(words) + 2 * margin, -1)
         padded[margin : margin + len(words)] = [self.vocabulary.get(w, -1) for w in words]
-        for n, diagonals in self.hits(words).items():
+        hits = self.hits(words)
+        if not hits:
+            return
+        owner = np.array([n for n, diagonals in hits.items() for _ in diagonals])
+        start = np.array([d for diagonals in hits.values() for d in diagonals]) + margin
+        # of two neighbouring words of a passage one is equal at least, so passages hold no more than twice the equal words
+        parts = [slice(a, a + 20_000) for a in range(0, len(start), 20_000)]
+        equal = np.concatenate([(padded[start[x, None] + np.arange(margin)] == self.numbers[owner[x]]).sum(1) for x in parts])
+        most = np.bincount(owner, 2 * equal + 1, len(self.items))
+        for n in np.flatnonzero((most > 0) & (most >= SHARE * self.sizes)):
+            diagonals = hits[n]
             ids, item = self.items[n]
-            # of two neighbouring words of a passage one is equal at least, so passages hold no more than twice the equal words
-            d = np.fromiter(diagonals, np.int64, len(diagonals))
-            equal = (padded[(d + margin)[:, None] + np.arange(len(item))] == self.numbers[n]).sum()
-            if 2 * equal + len(d) < SHARE * len(item):
-                continue
             total, way = self.chain(self.passages(words, n, diagonals))
             if total >= SHARE * len(item):
                 spans = spans or places_of(text)
