@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sievework.llm import handwritten, leakage, mixing, neighbours, percentiles, splitting, truncation
 from sievework.llm import shingles as sh
 from sievework.llm.syntax import operator as syntax
+from sievework.llm.syntax.brackets import pairing
 from sievework.llm.syntax.parser import parser_for
 from sievework.llm.syntax.rules import Grammar
 
@@ -428,6 +429,36 @@ def test_least_cost_matches_brute_force():
         assert rule.repair(text)[0] == brute(text), text
 
 
+def test_brackets_pair_at_least_cost():
+    rng = random.Random(2)
+    def brute(text):
+        """Fewest insertions, deletions and replacements by a bracket of the same side, by breadth."""
+        seen, layer, cost = {text}, {text}, 0
+        while all(map(reduce_pairs, layer)):
+            nxt = set()
+            for x in layer:
+                for i in range(len(x) + 1):
+                    nxt |= {x[:i] + c + x[i:] for c in "()[]"}
+                    if i < len(x):
+                        nxt |= {x[:i] + x[i + 1 :]} | {x[:i] + c + x[i + 1 :] for c in ("([" if x[i] in "([" else ")]")}
+            layer, cost = nxt - seen, cost + 1
+            seen |= layer
+        return cost
+
+    def reduce_pairs(x):
+        while True:
+            y = x.replace("()", "").replace("[]", "")
+            if y == x:
+                return x
+            x = y
+
+    for _ in range(60):
+        text = "".join(rng.choice("()[]") for _ in range(rng.randint(0, 5)))
+        partner, cost = pairing(text)
+        assert cost == brute(text), text
+        assert all(text[o] in "([" and text[c] in ")]" and o < c for c, o in partner.items())
+
+
 def test_python_agrees_with_its_own_parser():
     import ast
 
