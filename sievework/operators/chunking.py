@@ -53,7 +53,12 @@ def python_symbols(text: str) -> list[Piece] | None:
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 first = min([n.lineno, *[d.lineno for d in n.decorator_list]])
                 if isinstance(n, ast.ClassDef):
-                    out.append((first, n.end_lineno, "class", n.name))
+                    inner = [x for x in n.body if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
+                    # the class is its head; what follows between its members becomes blocks
+                    head = min([min([x.lineno, *[d.lineno for d in x.decorator_list]]) for x in inner], default=n.end_lineno + 1) - 1
+                    if head >= first:
+                        out.append((first, head, "class", n.name))
+                    visit(inner, True)
                 else:
                     out.append((first, n.end_lineno, "method" if inside else "function", n.name))
 
@@ -132,8 +137,8 @@ def split_lines(first: int, last: int, lines: list[str], most: int = MAX_LINES)
     out = []
     while last - first + 1 > most:
         stop = first + most - 1
-        back = range(stop, stop - max(3, most * 3 // 10), -1)
-        brace = next((i for i in back if lines[i - 1].strip() in ("}", "};")), None)
+        back = range(stop, stop - max(3, most * 3 // 10) - 1, -1)
+        brace = next((i for i in back if lines[i - 1].strip() in ("}", "};", "},")), None)
         soft = next((i for i in back if not lines[i - 1].strip() or lines[i - 1].rstrip().endswith(";")), None)
         cut = brace or soft or stop
         out.append((first, cut))
@@ -146,6 +151,12 @@ def windows(n: int) -> list[tuple[int, int]]:
     return [(a + 1, min(a + WINDOW, n)) for a in range(0, max(n - OVERLAP, 1), WINDOW - OVERLAP)]
 
 
+def window_bounds(lines):
+    """The same windows as a column: an array of (line_start, line_end) for a number of lines."""
+    starts = F.sequence(F.lit(0), F.greatest(lines - OVERLAP - 1, F.lit(0)), F.lit(WINDOW - OVERLAP))
+    return F.transform(starts, lambda a: F.struct((a + 1).alias("line_start"), F.least(a + WINDOW, lines).alias("line_end")))
+
+
 def chunk_text(text: str, language: str, path: str) -> list[tuple[int, int, str | None, str | None, int | None]]:
     """(first line, last line, kind, name, part) of the chunks of a file."""
     body = text[:-1] if text.endswith("\n") else text
@@ -224,6 +235,16 @@ def collapse_data_lines(content: str, least: int = 4) -> str:
     return "\n".join(out)
 
 
+def collapsed(content):
+    """`collapse_data_lines` as a column."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else collapse_data_lines(x))
+
+    return run(content)
+
+
 def mask_text(content: str, language: str) -> str:
     """Comments and strings blanked, line by line, so that patterns meet code only; the inside of strings that a pattern needs is kept by the caller."""
     if language == "python":

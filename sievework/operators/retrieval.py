@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sievework.functions import text as t
-from sievework.session import small
+from sievework.session import cut, small
 
 K1, B = 1.2, 0.75
 #: Boosts of the fields; queries for paths weigh names of files more.
@@ -41,27 +41,70 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "repo", F.explode(F.array_distinct(t.analyze(F.col("query")))).alias("term"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int, boosts: dict[str, float] | None = None) -> DataFrame:
-    """query_id, id, score, rank: the k best chunks of each query within its repository.
+def postings(chunks: DataFrame) -> DataFrame:
+    """repo, id, field, term, tf, size: what an index keeps for lexical search."""
+    found = fields_of(chunks).select("repo", "id", "field", F.size("terms").alias("size"), F.explode("terms").alias("term"))
+    return found.groupBy("repo", "id", "field", "term").agg(F.count("*").alias("tf"), F.max("size").alias("size"))
 
-    Statistics (documents, lengths, document frequencies) are those of the repository. Only terms
-    that some query asks for are kept after the analysis, so postings stay small; scores are summed
-    by (query, chunk) with a map-side combine.
+
+def field_lengths(chunks: DataFrame) -> DataFrame:
+    """repo, field, docs, mean: one row per repository and field."""
+    return fields_of(chunks).groupBy("repo", "field").agg(F.count("*").alias("docs"), F.avg(F.size("terms")).alias("mean"))
+
+
+def embedded(chunks: DataFrame, embed=None) -> DataFrame:
+    """repo, id, vector of chunks; ``embed`` is a pandas UDF from text to vector."""
+    return chunks.select("repo", "id", (embed or hash_embedding())(F.coalesce("content", F.lit(""))).alias("vector"))
+
+
+def write_search_tables(chunks: DataFrame, root: str, embed=None) -> None:
+    """Postings by term hash, lengths and vectors of an index; searches read these and no content."""
+    postings(chunks).repartition("repo", "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/postings")
+    field_lengths(chunks).coalesce(1).write.mode("overwrite").parquet(f"{root}/lengths")
+    embedded(chunks, embed).write.mode("overwrite").parquet(f"{root}/vectors")
+
+
+def read_search_tables(spark, root: str) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{root}/{n}") for n in ("postings", "lengths", "vectors")}
+
+
+def update_search_tables(spark, root: str, target: str, touched: DataFrame, old_chunks: DataFrame, fresh: DataFrame, embed=None) -> None:
+    """A new version of the tables: chunks of touched files lose their rows, fresh chunks get theirs; nothing else is analysed or embedded again."""
+    gone = old_chunks.join(touched.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_semi").select("repo", "id").distinct()
+    old = read_search_tables(spark, root)
+    kept = old["postings"].join(gone, ["repo", "id"], "left_anti").unionByName(postings(fresh))
+    kept.repartition("repo", "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{target}/postings")
+    # sums of lengths change by what came and went
+    sums = lambda df, sign: df.select("repo", "field", (sign * F.col("docs")).alias("docs"), (sign * F.col("docs") * F.col("mean")).alias("total"))
+    lost = field_lengths(old_chunks.join(gone, ["repo", "id"], "left_semi"))
+    total = sums(old["lengths"], 1).unionByName(sums(field_lengths(fresh), 1)).unionByName(sums(lost, -1)).groupBy("repo", "field").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"))
+    total.where("docs > 0").select("repo", "field", "docs", (F.col("total") / F.col("docs")).alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{target}/lengths")
+    old["vectors"].join(gone, ["repo", "id"], "left_anti").unionByName(embedded(fresh, embed)).write.mode("overwrite").parquet(f"{target}/vectors")
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """query_id, id, score, rank: the k best chunks of each query within its repository, from the chunks themselves."""
+    return score_postings(postings(chunks), field_lengths(chunks), queries, k, digits)
+
+
+def score_postings(posts: DataFrame, lengths: DataFrame, queries: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """query_id, id, score, rank from stored postings.
+
+    Statistics (documents, lengths, document frequencies) are those of the repository. Only terms that some query asks
+    for are read on; scores are summed by (query, chunk) with a map-side combine. Queries with a separator weigh names of
+    files more. Scores may be rounded before they are ranked, so that equal ones tie.
     """
-    boosts = boosts or FIELDS
-    fields = fields_of(chunks)
-    terms = query_terms(queries)
-    lengths = fields.groupBy("repo", "field").agg(F.count("*").alias("docs"), F.avg(F.size("terms")).alias("mean"))
+    terms = query_terms(queries).join(queries.select("query_id", F.col("query").rlike(r"[/\\\\]").alias("for_paths")), "query_id")
     wanted = terms.select("repo", "term").distinct()
-    found = fields.select("repo", "id", "field", F.size("terms").alias("size"), F.explode("terms").alias("term")).join(wanted, ["repo", "term"], "left_semi")
-    postings = found.groupBy("repo", "id", "field", "term").agg(F.count("*").alias("tf"), F.max("size").alias("size"))
-    df = postings.groupBy("repo", "field", "term").agg(F.count("*").alias("df"))
-    boost = F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv])[F.col("field")]
+    found = posts.join(wanted, ["repo", "term"], "left_semi")
+    df = found.groupBy("repo", "field", "term").agg(F.count("*").alias("df"))
+    boost = lambda b: F.create_map(*[F.lit(x) for kv in b.items() for x in kv])[F.col("field")]
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    weighted = postings.join(df, ["repo", "field", "term"]).join(lengths, ["repo", "field"]).select("repo", "id", "term", (boost * idf * norm).alias("w"))
-    per_term = weighted.groupBy("repo", "id", "term").agg(F.sum("w").alias("w"))
-    scored = terms.join(per_term, ["repo", "term"]).groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+    weighted = found.join(df, ["repo", "field", "term"]).join(lengths, ["repo", "field"]).select("repo", "id", "term", (boost(FIELDS) * idf * norm).alias("w"), (boost(PATH_FIELDS) * idf * norm).alias("w_paths"))
+    per_term = weighted.groupBy("repo", "id", "term").agg(F.sum("w").alias("w"), F.sum("w_paths").alias("w_paths"))
+    score = F.sum(F.when(F.col("for_paths"), F.col("w_paths")).otherwise(F.col("w")))
+    scored = terms.join(per_term, ["repo", "term"]).groupBy("query_id", "id").agg((score if digits is None else F.round(score, digits)).alias("score"))
     return top(scored, ["query_id"], k)
 
 
@@ -98,22 +141,20 @@ def hash_embedding(dim: int = 64):
 
 
 QUERY_BLOCK = 8_192
-#: Candidates kept beyond k while distances come from products; the kept ones are compared exactly.
-SPARE = 8
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, groups: Sequence[str] = ("repo",)) -> DataFrame:
-    """query_id, id, score, rank: exact nearest neighbours within a group; score is 1 / (1 + distance).
+    """query_id, id, score, rank: exact nearest neighbours within a group; score is 1 / (1 + distance), ties go to the lower id.
 
     Filters belong in front of this call: they are applied before the ranking, so they never starve k.
     Queries are taken in blocks of at most QUERY_BLOCK, each sent to the workers once; every task
-    multiplies its vectors with the queries of their group and keeps a few rows per query, so no pair
+    multiplies its vectors with the queries of their group and keeps k rows per query, so no pair
     of rows is ever materialised and a group of any size stays spread over its partitions.
     """
     known = [F.col(g).isNotNull() for g in groups]
     inside = lambda df: reduce(lambda x, y: x & y, known, F.col("vector").isNotNull())
     base = vectors.where(inside(vectors)).select(F.xxhash64(*groups).alias("g"), "id", "vector")
-    asked = queries.where(inside(queries)).select("query_id", F.xxhash64(*groups).alias("g"), "vector")
+    asked = cut(queries.where(inside(queries)).select("query_id", F.xxhash64(*groups).alias("g"), "vector"))
     kinds = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(vectors.dtypes)['id']}, score double"
     parts = max(1, -(-asked.count() // QUERY_BLOCK))
     found = None
@@ -129,6 +170,27 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, groups: Sequen
     return top(found, ["query_id"], k)
 
 
+def nearest_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, ids) of the k rows of x nearest to each query, by (distance, id); inf where there are fewer.
+
+    Products say which rows can be among them; those, ties included, are compared exactly.
+    """
+    d, i = np.full((len(q), k), np.inf), np.empty((len(q), k), ids.dtype)
+    norms = (x**2).sum(1)
+    for s in range(0, len(q), 512):
+        part = q[s : s + 512]
+        near = norms - 2 * part @ x.T
+        bar = np.partition(near, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+        qi, xi = np.nonzero(near <= bar[:, None] + 1e-9 * (1 + np.abs(bar[:, None])))
+        exact = np.concatenate([np.sqrt(((x[xi[a : a + 100_000]] - part[qi[a : a + 100_000]]) ** 2).sum(1)) for a in range(0, len(qi), 100_000)]).round(12)
+        order = np.lexsort((ids[xi], exact, qi))
+        qi, xi, exact = qi[order], xi[order], exact[order]
+        place = np.arange(len(qi)) - np.searchsorted(qi, qi)
+        kept = place < k
+        d[s + qi[kept], place[kept]], i[s + qi[kept], place[kept]] = exact[kept], ids[xi[kept]]
+    return d, i
+
+
 def _scanner(sent, k: int, query_type: pa.DataType):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -136,50 +198,61 @@ def _scanner(sent, k: int, query_type: pa.DataType):
         for batch in batches:
             column, ids, g = batch.column("vector"), batch.column("id"), batch.column("g").to_numpy()
             kind = ids.type
-            names = np.array(ids.to_pylist(), dtype=object)
+            names = np.array(ids.to_pylist())
             sizes = np.diff(column.offsets.to_numpy())
             for group, dim in {(int(a), int(n)) for a, n in zip(g, sizes, strict=True)} & set(sent.value):
                 rows = np.flatnonzero((g == group) & (sizes == dim))
                 x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
-                q = sent.value[group, dim][1]
-                keep = min(k + SPARE, len(rows))
-                old_d, old_i = best.get((group, dim), (np.empty((len(q), 0)), np.empty((len(q), 0), object)))
-                new_d, new_i = np.empty((len(q), keep)), np.empty((len(q), keep), object)
-                norms = (x**2).sum(1)
-                for s in range(0, len(q), 512):
-                    part = q[s : s + 512]
-                    near = np.argpartition(norms - 2 * part @ x.T, keep - 1, axis=1)[:, :keep]
-                    new_d[s : s + 512] = np.sqrt(((x[near] - part[:, None, :]) ** 2).sum(2))
-                    new_i[s : s + 512] = names[rows[near]]
-                d, i = np.concatenate([old_d, new_d], 1), np.concatenate([old_i, new_i], 1)
-                if d.shape[1] > k + SPARE:
-                    top_at = np.argpartition(d, k + SPARE - 1, axis=1)[:, : k + SPARE]
-                    d, i = np.take_along_axis(d, top_at, 1), np.take_along_axis(i, top_at, 1)
+                d, i = nearest_of(sent.value[group, dim][1], x, names[rows], k)
+                if (group, dim) in best:
+                    d, i = np.concatenate([best[group, dim][0], d], 1), np.concatenate([best[group, dim][1], i], 1)
+                    order = np.lexsort((i, d), axis=1)[:, :k]
+                    d, i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
                 best[group, dim] = d, i
         for key, (d, i) in best.items():
-            owner = [x for x in sent.value[key][0] for _ in range(d.shape[1])]
-            yield pa.RecordBatch.from_arrays([pa.array(owner, query_type), pa.array(i.ravel().tolist(), kind), pa.array(1 / (1 + d.ravel()))], names=["query_id", "id", "score"])
+            kept = np.isfinite(d)
+            owner = np.repeat(np.arange(len(d)), kept.sum(1))
+            queries = sent.value[key][0]
+            yield pa.RecordBatch.from_arrays([pa.array([queries[o] for o in owner], query_type), pa.array(i[kept].tolist(), kind), pa.array(1 / (1 + d[kept]))], names=["query_id", "id", "score"])
 
     return scan
 
 
-def fuse(lists: DataFrame, k: int, rrf_k: float = RRF_K, tie: str = "id") -> DataFrame:
+def fuse(lists: DataFrame, k: int, rrf_k: float = RRF_K, tie: str = "id", digits: int | None = None) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists in one table (query_id, id, rank, weight)."""
     rrf_k = rrf_k if np.isfinite(rrf_k) and rrf_k > 0 else RRF_K
-    fused = lists.groupBy("query_id", "id").agg(F.sum(F.col("weight") / (F.lit(rrf_k) + F.col("rank"))).alias("score"))
+    score = F.sum(F.col("weight") / (F.lit(rrf_k) + F.col("rank")))
+    fused = lists.groupBy("query_id", "id").agg((score if digits is None else F.round(score, digits)).alias("score"))
     return top(fused, ["query_id"], k, tie=tie)
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, k: int, pool: int = 50) -> DataFrame:
-    """Lexical and vector lists of each query, weighted by its kind and fused, as query_id, id, score, rank."""
+def with_intent(query, intent):
+    """What a model reads of a query whose intent is stated; lexical search reads the query alone."""
+    return F.when(F.trim(F.coalesce(intent, F.lit(""))) == "", query).otherwise(F.concat(F.lit("intent: "), F.trim(intent), F.lit(" | "), query))
+
+
+def hybrid(chunks: DataFrame, queries: DataFrame, k: int, embed=None, stored: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Lexical and vector lists of each query, weighted by its kind and fused, as query_id, id, score, rank.
+
+    ``stored`` are the search tables of an index; without them the chunks are analysed and embedded here. ``embed`` is a
+    pandas UDF from text to vector, the one that made the stored vectors. How many candidates a list gives follows from the
+    query's kind and k; a query without any in one list has those of the other.
+    """
+    from sievework.operators.candidates import lexical_pool, pool_size
+
+    embed = embed or hash_embedding()
     kind = t.query_kind(F.col("query"))
-    weights = queries.select("query_id", F.when(kind == "natural", FUSION["natural"][0]).otherwise(FUSION["identifier"][0]).alias("lexical"), F.lit(1.0).alias("semantic"))
-    embed = hash_embedding()
-    vectors = chunks.select("repo", "id", embed(F.coalesce("content", F.lit(""))).alias("vector"))
-    asked = queries.select("query_id", "repo", embed("query").alias("vector"))
-    by_words = bm25(chunks, queries, pool).join(weights, "query_id").select("query_id", "id", "rank", F.col("lexical").alias("weight"))
-    by_vector = vector_search(vectors, asked, pool).join(weights, "query_id").select("query_id", "id", "rank", F.col("semantic").alias("weight"))
-    return fuse(by_words.unionByName(by_vector), k)
+    asked_text = with_intent(F.col("query"), F.col("intent")) if "intent" in queries.columns else F.col("query")
+    plan = queries.select(
+        "query_id", F.when(kind == "natural", FUSION["natural"][0]).otherwise(FUSION["identifier"][0]).alias("lexical"), F.lit(1.0).alias("semantic"),
+        lexical_pool(F.col("query"), k).alias("words_pool"), pool_size(kind, k).alias("vector_pool"),
+    )
+    most_words, most_vectors = max(5 * k, 100, k + 40), max(5 * k, 50)
+    by = stored or {"postings": postings(chunks), "lengths": field_lengths(chunks), "vectors": embedded(chunks, embed)}
+    words = score_postings(by["postings"], by["lengths"], queries, most_words).join(plan, "query_id").where("rank <= words_pool").select("query_id", "id", "rank", F.col("lexical").alias("weight"))
+    asked = queries.select("query_id", "repo", embed(asked_text).alias("vector"))
+    near = vector_search(by["vectors"], asked, most_vectors).join(plan, "query_id").where("rank <= vector_pool").select("query_id", "id", "rank", F.col("semantic").alias("weight"))
+    return fuse(words.unionByName(near), k)
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -189,7 +262,7 @@ def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def interleave(lists: DataFrame) -> DataFrame:
     """Round robin over lists (query_id, id, list, rank): first places first, a result once."""
-    order = Window.partitionBy("query_id").orderBy("rank", "list")
+    order = Window.partitionBy("query_id").orderBy("rank", "list", "id")
     first = Window.partitionBy("query_id", "id").orderBy("rank", "list")
     once = lists.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
     return once.withColumn("place", F.row_number().over(order))

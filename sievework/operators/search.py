@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import logging
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -11,10 +13,15 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as t
 from sievework.operators import candidates, ranking, retrieval
+from sievework.session import cut
+
+log = logging.getLogger(__name__)
 
 #: Names that are too common to follow (fixed values).
 COMMON_NAMES = ("new", "main", "init", "get", "set", "run", "test")
 RERANK_CHARS = 2000
+#: Keys under which models answer with queries (fixed values).
+ANSWER_KEYS = ("rewrites", "queries", "candidates", "alternatives")
 
 
 class Reranker(Protocol):
@@ -58,7 +65,8 @@ def rerank(ranked: DataFrame, score: Reranker, depth: int = 20) -> DataFrame:
             for q, text, docs in zip(f["query_id"], f["query"], f["docs"], strict=True):
                 try:
                     s = list(score(text, [d["document"] for d in docs]))
-                except Exception:  # a model that is away must not fail the search
+                except Exception as e:  # a model that is away must not fail the search
+                    log.warning("reranker failed, order kept: %s", e)
                     s = []
                 known = sorted(range(min(len(s), len(docs))), key=lambda i: (-s[i], i))
                 order = known + list(range(len(known), len(docs)))
@@ -70,6 +78,21 @@ def rerank(ranked: DataFrame, score: Reranker, depth: int = 20) -> DataFrame:
     return ranked.join(moved, ["query_id", "id"], "left").withColumn("rank", F.coalesce("new_rank", "rank")).drop("new_rank")
 
 
+def query_candidates(answer: str, limit: int) -> list[str]:
+    """Queries in a model's answer: a JSON array of strings, alone, under a usual key, or inside other text; empty if there is none."""
+    bracketed = answer[answer.find("[") : answer.rfind("]") + 1]
+    for text in (answer.strip(), bracketed):
+        try:
+            value = json.loads(text)
+        except ValueError:
+            continue
+        lists = [value] if isinstance(value, list) else [value.get(k) for k in ANSWER_KEYS] if isinstance(value, dict) else []
+        for x in lists:
+            if isinstance(x, list) and all(isinstance(q, str) for q in x):
+                return normalize_queries(x)[:limit]
+    return []
+
+
 def normalize_queries(queries: Sequence[str]) -> list[str]:
     """Queries without outer blanks, without empty ones, each once whatever the case; the first wins."""
     seen: dict[str, str] = {}
@@ -96,7 +119,8 @@ def deep_search(spark: SparkSession, chunks: DataFrame, repo: str, query: str, e
     first = retrieval.bm25(chunks, q, hints).join(chunks, "id").select("symbol_name", "file_path", "rank").orderBy("rank").limit(hints).collect()
     try:
         extra = list(expand(query, [r.symbol_name or r.file_path for r in first]))
-    except Exception:
+    except Exception as e:
+        log.warning("expansion failed, query searched alone: %s", e)
         extra = []
     asked = normalize_queries([query, *extra])
     return multi_query(spark, chunks, repo, asked, limit, [2.0] + [1.0] * (len(asked) - 1))
@@ -117,17 +141,27 @@ def iterative_search(spark: SparkSession, chunks: DataFrame, repo: str, query: s
     return kept.withColumn("rank", place).where(F.col("rank") <= limit).select("query_id", "id", "score", "rank")
 
 
-def search(chunks: DataFrame, queries: DataFrame, limit: int, condition=None) -> DataFrame:
-    """Ranked chunks for a batch of queries: filtered, fused, exact symbols in front, ranked by code signals.
+def search(chunks: DataFrame, queries: DataFrame, limit: int, condition=None, stored: dict[str, DataFrame] | None = None, embed=None) -> DataFrame:
+    """Ranked chunks for a batch of queries: filtered, fused, exact symbols and files in front, concept files behind, ranked by code signals.
 
-    The condition is applied before any list is cut, so a filter never starves the result.
+    The condition is applied before any list is cut, so a filter never starves the result. ``stored`` are the search
+    tables of the index that the chunks are from; a filter narrows them to the chunks that pass.
     """
     pool = chunks if condition is None else chunks.where(condition)
-    width = max(3 * limit, limit + 20)
-    fused = retrieval.hybrid(pool, queries, width).select("query_id", "id", "rank")
-    exact = candidates.exact_symbols(pool, queries).select("query_id", "id", (F.col("kind") - 2).alias("rank"))
-    both = fused.unionByName(exact).groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
+    if stored and condition is not None:
+        ids = cut(pool.select("repo", "id"))
+        stored = {n: df if n == "lengths" else df.join(ids, ["repo", "id"], "left_semi") for n, df in stored.items()}
+    fetch = candidates.fetch_limit(F.col("query"), limit, condition is not None)
+    most = max(8 * limit, limit + 140)
+    width = queries.select("query_id", fetch.alias("width"))
+    fused = retrieval.hybrid(pool, queries, most, embed, stored).join(width, "query_id").where("rank <= width").select("query_id", "id", "rank")
+    exact = candidates.exact_order(candidates.exact_symbols(pool, queries), pool).select("query_id", "id", (F.col("place") - 1_000_000).alias("rank"))
+    named = candidates.filename_candidates(pool, queries).join(queries.select("query_id", "repo"), "query_id")
+    first = Window.partitionBy("query_id", "file_path").orderBy(F.coalesce("line_start", F.lit(0)), "id")
+    named = named.join(pool.select("repo", "file_path", "id", "line_start"), ["repo", "file_path"]).withColumn("n", F.row_number().over(first)).where("n = 1").select("query_id", "id", (F.col("depth") - 2_000_000).alias("rank"))
+    concepts = candidates.concept_files(pool, queries).select("query_id", "id", F.lit(1_000_000).alias("rank"))
+    both = fused.unionByName(exact).unionByName(named).unionByName(concepts).groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
     w = Window.partitionBy("query_id").orderBy("rank", "id")
-    numbered = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= width)
+    numbered = both.withColumn("rank", F.row_number().over(w)).join(width, "query_id").where(F.col("rank") <= F.col("width") + 3 * 4).drop("width")
     rows = numbered.join(pool, "id").join(queries.select("query_id", "query"), "query_id")
     return ranking.rank(rows).where(F.col("rank") <= limit)

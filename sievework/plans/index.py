@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as t
-from sievework.operators import evaluation, filters, graph, ranking, retrieval, stats
-from sievework.session import table
+from sievework.operators import candidates, chunking, evaluation, filters, graph, ranking, retrieval, stats, update
+from sievework.session import table, work_path
 
 
 def _chunks(spark: SparkSession, d: str, where=None) -> DataFrame:
@@ -25,6 +25,20 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "search_requests").select(F.col("request_id").alias("query_id"), "repo", "query")
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _stored(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The index over the chunks of a folder: each chunk once, postings, lengths and vectors; written once per application and read by every search."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        root = work_path(s, "index")
+        _chunks(s, d).write.parquet(f"{root}/chunks")
+        retrieval.write_search_tables(s.read.parquet(f"{root}/chunks"), root)
+        _INDEXES[key] = root
+    return {"chunks": s.read.parquet(f"{_INDEXES[key]}/chunks"), **retrieval.read_search_tables(s, _INDEXES[key])}
+
+
 ONCE = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY id) AS dup FROM chunks WHERE id IS NOT NULL) WHERE dup = 1)"
 Q, SQL = {}, {}
 
@@ -143,17 +157,18 @@ _PATTERNS = ["src/**", "core", "**/*.rs", "nothing/here"]
     m AS (SELECT count(*) FILTER (file_path LIKE 'src/%') AS a, count(*) FILTER (regexp_matches(file_path, '^(|.*/)src/.*')) AS a2,
         count(*) FILTER (file_path LIKE 'core/%' OR file_path = 'core') AS b, count(*) FILTER (regexp_matches(file_path, '^(|.*/)core/')) AS b2,
         count(*) FILTER (file_path LIKE '%.rs') AS c FROM p)
-    SELECT 'src/**' AS pattern, a AS matches FROM m UNION ALL SELECT 'core', b FROM m UNION ALL SELECT '**/*.rs', c FROM m UNION ALL SELECT 'nothing/here', 0""")
+    SELECT *, CASE WHEN matches = 0 AND near > 0 THEN '**/' || pattern || '/**' END AS suggestion FROM (
+    SELECT 'src/**' AS pattern, a AS matches, a2 AS near FROM m UNION ALL SELECT 'core', b, b2 FROM m UNION ALL SELECT '**/*.rs', c, 0 FROM m UNION ALL SELECT 'nothing/here', 0, 0)""")
 def glob_near_misses(s, d):
     paths = table(s, d, "chunks").select("repo", "file_path").distinct()
-    return filters.near_misses(paths, _PATTERNS).select("pattern", "matches")
+    return filters.near_misses(paths, _PATTERNS)
 
 
 @query(f"SELECT file_path, line_start, symbol_name, repo FROM {ONCE} WHERE lower(symbol_name) = (SELECT min(lower(symbol_name)) FROM chunks)")
 def symbol_lookup(s, d):
     c = _chunks(s, d)
-    first = c.agg(F.min(F.lower("symbol_name")).alias("key"))
-    return c.join(F.broadcast(first), F.lower("symbol_name") == F.col("key")).select("file_path", "line_start", "symbol_name", "repo")
+    name = c.agg(F.min(F.lower("symbol_name"))).first()[0]
+    return graph.lookup(c, name or "").select("file_path", "line_start", "symbol_name", "repo")
 
 
 # ---------------------------------------------------------------- statistics
@@ -189,27 +204,34 @@ def hotspots(s, d):
     return stats.hotspots(_chunks(s, d), 10)
 
 
-@query(f"SELECT DISTINCT repo, file_path FROM {ONCE} WHERE lower(string_split(regexp_extract(file_path, '[^/]*$'), '.')[1]) IN {t.ENTRY_STEMS!r}")
-def entry_points(s, d):
-    return stats.entry_points(_delivered(s, d))
-
-
 @query(f"SELECT repo, file_path, count(*) AS chunks, max(line_end) AS last_line, min(language) AS language FROM {ONCE} GROUP BY 1, 2")
 def file_summaries(s, d):
     return stats.file_summaries(_chunks(s, d))
 
 
+def _sign_sql(mark: str) -> str:
+    path = "'/' || file_path || '/'"
+    hits = [f"contains({path}, '/{mark}/')"]
+    if mark in stats.OPEN_ENDED:
+        hits.append(f"contains({path}, '/{mark}.')")
+    if mark == ".proto":
+        hits.append("file_path LIKE '%.proto'")
+    return " OR ".join(hits)
+
+
+_CONVENTION_PATHS = ("crates/a/Cargo.toml", "web/vite.config.ts", ".github/workflows/ci.yml", "api/user.proto", "my.github/workflows", "db/migrations/1.sql", "Makefile.old")
+
+
 def _conventions_sql() -> str:
-    parts = []
-    for name, marks in stats.CONVENTIONS.items():
-        tests = " OR ".join(f"file_path LIKE '%{m}'" if m.startswith(".") else f"list_contains(string_split(file_path, '/'), '{m}')" for m in marks)
-        parts.append(f"SELECT DISTINCT repo, '{name}' AS convention FROM {ONCE} WHERE {tests}")
-    return " UNION ALL ".join(parts)
+    planted = ", ".join(f"('planted', '{p}')" for p in _CONVENTION_PATHS)
+    rows = f"(SELECT repo, file_path FROM {ONCE} UNION ALL SELECT * FROM (VALUES {planted}) p(repo, file_path))"
+    return " UNION ALL ".join(f"SELECT DISTINCT repo, '{name}' AS convention FROM {rows} WHERE {' OR '.join(map(_sign_sql, marks))}" for name, marks in stats.CONVENTIONS.items())
 
 
 @query(_conventions_sql())
 def conventions(s, d):
-    return stats.conventions(_delivered(s, d))
+    planted = s.createDataFrame([("planted", p) for p in _CONVENTION_PATHS], "repo string, file_path string")
+    return stats.conventions(_delivered(s, d).select("repo", "file_path").unionByName(planted))
 
 
 @query("""SELECT repo, count(*) AS files, count(*) FILTER (e.file_path IS NOT NULL) AS with_error FROM file_index_state f
@@ -262,11 +284,10 @@ def token_estimates(s, d):
     r AS (SELECT file_id, run, count(*) AS size FROM g WHERE data GROUP BY 1, 2)
     SELECT file_id, sum(size)::BIGINT AS data_lines, count(*) AS runs FROM r WHERE size >= 4 GROUP BY 1""")
 def data_line_runs(s, d):
-    """Runs of four and more data-dense lines per file: gaps and islands within a file."""
-    lines = _files(s, d).where("content is not null").select("file_id", F.posexplode(t.text_lines(F.col("content"))).alias("n", "line"))
-    data = lines.where(t.is_data_line(F.col("line")))
-    runs = data.withColumn("run", F.col("n") - F.row_number().over(Window.partitionBy("file_id").orderBy("n"))).groupBy("file_id", "run").agg(F.count("*").alias("size"))
-    return runs.where("size >= 4").groupBy("file_id").agg(F.sum("size").alias("data_lines"), F.count("*").alias("runs"))
+    """What the collapse of data-dense lines replaces, per file, read from its marks."""
+    marks = F.regexp_extract_all(chunking.collapsed(F.col("content")), F.lit(r"(?m)^\[(\d+) lines of data\]$"), F.lit(1))
+    sizes = _files(s, d).where("content is not null").select("file_id", F.explode(marks).alias("size")).select("file_id", F.col("size").cast("long").alias("size"))
+    return sizes.groupBy("file_id").agg(F.sum("size").alias("data_lines"), F.count("*").alias("runs"))
 
 
 # ---------------------------------------------------------------- windows of text
@@ -276,11 +297,8 @@ def data_line_runs(s, d):
     FROM w WHERE regexp_matches(array_to_string(x[pos + 1:pos + 50], chr(10)), '\\S')""")
 def windows_of_lines(s, d):
     """Windows of 50 lines, ten of them shared with the next, without blank ones."""
-    x = t.text_lines(F.col("content"))
-    f = _files(s, d).where("content is not null and trim(content) != ''").select("file_id", x.alias("x"))
-    w = f.select("file_id", "x", F.explode(F.expr("sequence(0, greatest(size(x) - 11, 0), 40)")).alias("at"))
-    part = F.array_join(F.slice("x", F.col("at") + 1, 50), "\n")
-    w = w.select("file_id", (F.col("at") + 1).alias("line_start"), F.least(F.col("at") + 50, F.size("x")).alias("line_end"), part.alias("part"))
+    f = _files(s, d).where("content is not null and trim(content) != ''").select("file_id", t.text_lines(F.col("content")).alias("x"))
+    w = f.select("file_id", "x", F.explode(chunking.window_bounds(F.size("x"))).alias("w")).select("file_id", "w.line_start", "w.line_end", F.array_join(F.slice("x", F.col("w.line_start"), F.col("w.line_end") - F.col("w.line_start") + 1), "\n").alias("part"))
     return w.where(F.col("part").rlike(r"\S")).select("file_id", "line_start", "line_end", F.octet_length("part").alias("n_bytes"))
 
 
@@ -332,6 +350,10 @@ def definitions(s, d):
 _LINE_ROWS = f"(SELECT repo, file_path, coalesce(line_start, 1) AS first, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM {ONCE} WHERE content IS NOT NULL)"
 
 
+_LINE_SNIPPETS = f"""(SELECT repo, file_path, first, n, x[n] AS text, array_to_string(x[greatest(n - 2, 1):n + 2], chr(10)) AS snippet FROM
+    (SELECT repo, file_path, coalesce(line_start, 1) AS first, string_split(content, chr(10)) AS x, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS n FROM {ONCE} WHERE content IS NOT NULL))"""
+
+
 def _match_sql(pattern: str, cols: str) -> str:
     p = pattern.replace("'", "''")
     return f"SELECT DISTINCT repo, file_path, (first + n - 1)::INT AS line, {cols.format(p=p)} FROM {_LINE_ROWS} WHERE regexp_matches(text, '{p}')"
@@ -345,30 +367,9 @@ def structural_raises(s, d):
     return graph.matches(_delivered(s, d), _THROW)
 
 
-@query(_match_sql(graph.ENV_READS, "regexp_extract(text, '{p}', 1) AS g1"))
-def structural_env_reads(s, d):
-    return graph.matches(_delivered(s, d), graph.ENV_READS)
-
-
-@query(_match_sql(graph.ROUTES, "regexp_extract(text, '{p}', 1) AS g1, regexp_extract(text, '{p}', 2) AS g2"))
-def structural_routes(s, d):
-    return graph.matches(_delivered(s, d), graph.ROUTES, 2)
-
-
-@query(_match_sql(graph.SQL_SITES, "regexp_extract(text, '{p}', 1) AS g1"))
-def structural_sql_sites(s, d):
-    return graph.matches(_delivered(s, d), graph.SQL_SITES)
-
-
-@query(f"""SELECT repo, file_path, line, owner, target FROM (SELECT *, row_number() OVER (PARTITION BY repo, file_path, lower(owner), lower(target) ORDER BY line) AS k FROM
-    ({_match_sql(graph.RELATION, "regexp_extract(text, '{p}', 1) AS owner, regexp_extract(text, '{p}', 2) AS target")})) WHERE k = 1""")
-def type_relations(s, d):
-    return graph.type_relations(_delivered(s, d))
-
-
-@query(f"SELECT repo, file_path, (first + n - 1)::INT AS line, min(text) AS text FROM {_LINE_ROWS} WHERE regexp_matches(text, '(?i)out of range') GROUP BY ALL")
+@query(f"SELECT repo, file_path, (first + n - 1)::INT AS line, min(text) AS text, max(snippet) AS snippet FROM {_LINE_SNIPPETS} WHERE regexp_matches(text, '(?i)out of range') GROUP BY ALL")
 def regex_search(s, d):
-    return graph.regex_search(_delivered(s, d), "out of range", 2, case_sensitive=False).select("repo", "file_path", "line", "text")
+    return graph.regex_search(_delivered(s, d), "out of range", 2, case_sensitive=False)
 
 
 @query(f"""WITH p AS ({_match_sql(_THROW, "1 AS x")}), j AS (SELECT p.repo, p.file_path, p.line, c.line_start, c.line_end, c.symbol_name, row_number() OVER (PARTITION BY p.repo, p.file_path, p.line
@@ -383,14 +384,16 @@ def enclosing_symbols(s, d):
 # ---------------------------------------------------------------- vectors and chunks
 @query(f"SELECT id FROM {ONCE} c WHERE NOT EXISTS (SELECT 1 FROM vectors v WHERE v.chunk_id = c.id AND v.vector IS NOT NULL AND NOT coalesce(v.tombstoned, false))")
 def chunks_without_vector(s, d):
-    have = table(s, d, "vectors").where("vector is not null and not coalesce(tombstoned, false)").select(F.col("chunk_id").alias("id")).distinct()
-    return _chunks(s, d).select("id").join(have, "id", "left_anti")
+    have = table(s, d, "vectors").where("vector is not null and not coalesce(tombstoned, false)").select("chunk_id")
+    return update.missing_vectors(_chunks(s, d).select("id"), have)
 
 
-@query("SELECT DISTINCT rowid FROM vectors v WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.id = v.chunk_id)")
+@query("""SELECT DISTINCT rowid FROM vectors v WHERE NOT EXISTS (SELECT 1 FROM chunks c JOIN file_index_state f ON f.repo = c.repo AND f.file_path = c.file_path AND f.status = 'indexed' WHERE c.id = v.chunk_id)""")
 def orphan_vectors(s, d):
-    ids = table(s, d, "chunks").select(F.col("id").alias("chunk_id")).distinct()
-    return table(s, d, "vectors").join(ids, "chunk_id", "left_anti").select("rowid").distinct()
+    """Vectors of chunks that are gone, or whose file is no longer indexed well."""
+    indexed = table(s, d, "file_index_state").where("status = 'indexed'").select("repo", "file_path").distinct()
+    live = table(s, d, "chunks").select("id", "repo", "file_path").join(indexed, ["repo", "file_path"], "left_semi")
+    return update.orphans(table(s, d, "vectors").select("rowid", "chunk_id"), live).select("rowid").distinct()
 
 
 @query("SELECT v.database_id, m.generation, count(DISTINCT v.rowid) AS row_count, count(DISTINCT v.rowid) FILTER (len(v.vector) = m.dim) AS fitting FROM vectors v LEFT JOIN flat_manifest m ON m.database_id = v.database_id GROUP BY 1, 2")
@@ -413,37 +416,40 @@ def nearest_embeddings(s, d):
 _TERMS = lambda x: f"list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'), lambda w: len(w) <= 40)"
 _TOKENS_SQL = SQL["path_tokens"]
 BM25_SQL = f"""WITH c AS (SELECT c.*, p.tokens FROM {ONCE} c JOIN ({_TOKENS_SQL}) p ON p.file_path = c.file_path),
-    f AS (SELECT repo, id, 'filename' AS field, 2.0 AS boost, {_TERMS("regexp_extract(file_path, '[^/]*$')")} AS terms FROM c
-        UNION ALL SELECT repo, id, 'path_tokens', 1.5, {_TERMS("tokens")} FROM c UNION ALL SELECT repo, id, 'symbol_name', 3.0, {_TERMS("coalesce(symbol_name, '')")} FROM c
-        UNION ALL SELECT repo, id, 'content', 1.0, {_TERMS("coalesce(content, '')")} FROM c),
-    q AS (SELECT request_id AS query_id, repo, unnest(list_distinct({_TERMS("query")})) AS term FROM search_requests),
+    f AS (SELECT repo, id, 'filename' AS field, 2.0 AS boost, 8.0 AS boost_paths, {_TERMS("regexp_extract(file_path, '[^/]*$')")} AS terms FROM c
+        UNION ALL SELECT repo, id, 'path_tokens', 1.5, 5.0, {_TERMS("tokens")} FROM c UNION ALL SELECT repo, id, 'symbol_name', 3.0, 2.0, {_TERMS("coalesce(symbol_name, '')")} FROM c
+        UNION ALL SELECT repo, id, 'content', 1.0, 1.0, {_TERMS("coalesce(content, '')")} FROM c),
+    q AS (SELECT request_id AS query_id, repo, contains(query, '/') OR contains(query, chr(92)) AS for_paths, unnest(list_distinct({_TERMS("query")})) AS term FROM search_requests),
     len AS (SELECT repo, field, count(*) AS docs, avg(len(terms)) AS mean FROM f GROUP BY 1, 2),
-    post AS (SELECT repo, id, field, boost, term, count(*) AS tf, max(size) AS size FROM (SELECT repo, id, field, boost, len(terms) AS size, unnest(terms) AS term FROM f)
+    post AS (SELECT repo, id, field, boost, boost_paths, term, count(*) AS tf, max(size) AS size FROM (SELECT repo, id, field, boost, boost_paths, len(terms) AS size, unnest(terms) AS term FROM f)
         WHERE (repo, term) IN (SELECT repo, term FROM q) GROUP BY ALL),
     df AS (SELECT repo, field, term, count(*) AS df FROM post GROUP BY ALL),
-    w AS (SELECT p.repo, p.id, p.term, sum(boost * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS w
+    w AS (SELECT p.repo, p.id, p.term, sum(boost * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS w,
+            sum(boost_paths * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS wp
         FROM post p JOIN df USING (repo, field, term) JOIN len USING (repo, field) GROUP BY ALL),
-    sc AS (SELECT query_id, id, sum(w) AS score FROM q JOIN w USING (repo, term) GROUP BY ALL)
+    sc AS (SELECT query_id, id, sum(CASE WHEN for_paths THEN wp ELSE w END) AS score FROM q JOIN w USING (repo, term) GROUP BY ALL)
     SELECT query_id, id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, id) AS rank FROM sc"""
 
 
 @query(f"SELECT * FROM ({BM25_SQL}) WHERE rank <= 10")
 def search_lexical(s, d):
-    scored = retrieval.bm25(_chunks(s, d), _requests(s, d), 1_000_000).select("query_id", "id", F.round("score", 4).alias("score"))
-    return retrieval.top(scored, ["query_id"], 10)
+    stored = _stored(s, d)
+    return retrieval.score_postings(stored["postings"], stored["lengths"], _requests(s, d), 10, digits=4)
 
 
 @query()
 def search_hybrid(s, d):
     """Lexical and vector search of all requests, fused by reciprocal rank."""
-    return retrieval.hybrid(_chunks(s, d), _requests(s, d), 10)
+    return retrieval.hybrid(_stored(s, d)["chunks"], _requests(s, d), 10, stored=_stored(s, d))
 
 
 @query()
 def search_ranked(s, d):
     """Hybrid search, ranked anew by paths, symbols and classes, spread over files."""
-    c, q = _chunks(s, d), _requests(s, d)
-    pool = retrieval.hybrid(c, q, 30).drop("score").join(c, "id").join(q.select("query_id", "query"), "query_id")
+    stored, q = _stored(s, d), _requests(s, d)
+    width = q.select("query_id", candidates.fetch_limit(F.col("query"), 10).alias("width"))
+    fused = retrieval.hybrid(stored["chunks"], q, 150, stored=stored).drop("score").join(width, "query_id").where("rank <= width").drop("width")
+    pool = fused.join(stored["chunks"], "id").join(q.select("query_id", "query"), "query_id")
     return ranking.rank(pool).where("rank <= 10").select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
@@ -471,7 +477,7 @@ def fuse_lanes(s, d):
     r = evaluation.ranked_results(table(s, d, "task_results").dropDuplicates(["result_id"]))
     lists = r.groupBy(F.col("task_id").alias("query_id"), F.col("file_path").alias("id"), "lane").agg(F.min("rank").alias("rank"))
     lists = lists.withColumn("weight", F.when(F.col("lane") == "bm25", 2.5).otherwise(1.0))
-    return retrieval.top(retrieval.fuse(lists, 1_000_000).select("query_id", "id", F.round("score", 9).alias("score")), ["query_id"], 5)
+    return retrieval.fuse(lists, 5, digits=9)
 
 
 @query(f"""WITH l AS (SELECT task_id AS query_id, id, lane AS list, min(rank) AS rank FROM {_LIST} GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY rank, list) AS n FROM l)
@@ -479,8 +485,7 @@ def fuse_lanes(s, d):
 def interleave_lanes(s, d):
     r = evaluation.ranked_results(table(s, d, "task_results").dropDuplicates(["result_id"]))
     lists = r.groupBy(F.col("task_id").alias("query_id"), F.col("file_path").alias("id"), F.col("lane").alias("list")).agg(F.min("rank").alias("rank"))
-    out = retrieval.interleave(lists).drop("place")
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "list", "id")))
+    return retrieval.interleave(lists)
 
 
 @query(f"""WITH b AS (SELECT task_id AS query_id, id, row_number() OVER (PARTITION BY task_id ORDER BY rank, id) AS rank FROM {_LIST} WHERE lane = 'hybrid'),
@@ -492,8 +497,8 @@ def diversify_lane(s, d):
     w = Window.partitionBy("task_id").orderBy("rank", "file_path")
     pool = r.select(F.col("task_id").alias("query_id"), F.col("file_path").alias("id"), F.row_number().over(w).alias("rank"))
     base = ranking.base_score(F.col("rank"), F.count("*").over(Window.partitionBy("query_id")))
-    nth = F.row_number().over(Window.partitionBy("query_id", "id").orderBy("rank"))
-    return pool.select("query_id", "id", "rank", F.round(base * F.pow(F.lit(ranking.DECAY), nth - 1), 9).alias("score"))
+    scored = pool.select("query_id", F.col("id").alias("file"), F.lpad(F.col("rank").cast("string"), 9, "0").alias("id"), base.alias("score"))
+    return ranking.diversify(scored).select("query_id", F.col("file").alias("id"), F.col("id").cast("int").alias("rank"), F.round("score", 9).alias("score"))
 
 
 # ---------------------------------------------------------------- evaluation

@@ -133,18 +133,7 @@ def indexed_and_chunked(s, d):
     return _chunks(s, d).select("file_path").intersect(table(s, d, "file_index_state").where("status = 'indexed'").select("file_path"))
 
 
-@query("SELECT DISTINCT relative_path AS file_path FROM discovered_files EXCEPT SELECT file_path FROM chunks")
-def files_without_chunks(s, d):
-    return table(s, d, "discovered_files").select(F.col("relative_path").alias("file_path")).subtract(table(s, d, "chunks").select("file_path"))
-
-
 # ---------------------------------------------------------------- lists
-@query(f"""WITH q AS (SELECT request_id AS query_id, repo, unnest(list_distinct(regexp_extract_all(query, '[A-Za-z_]\\w*'))) AS word FROM search_requests)
-    SELECT query_id, id, min(CASE WHEN word = symbol_name THEN 0 ELSE 1 END) AS kind FROM q JOIN {ONCE} c ON c.repo = q.repo AND lower(c.symbol_name) = lower(word) GROUP BY 1, 2""")
-def exact_symbols(s, d):
-    return candidates.exact_symbols(_chunks(s, d), _requests(s, d))
-
-
 @query(f"""WITH w AS (SELECT request_id AS query_id, repo, unnest(list_distinct(list_filter(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+'), lambda w: len(w) <= 40))) AS word FROM search_requests),
     f AS (SELECT DISTINCT repo, file_path FROM chunks), p AS (SELECT repo, file_path, length(file_path) - length(replace(file_path, '/', '')) AS depth,
         unnest(list_distinct(regexp_extract_all(lower(translate(regexp_replace(regexp_extract(file_path, '[^/]*$'), '(.)\\.[^.]*$', '\\1'), '_-.', '   ')), '[\\p{{L}}\\p{{N}}]+'))) AS word FROM f),

@@ -228,8 +228,8 @@ def test_filters(spark):
 
 
 def test_conventions_and_staleness(spark):
-    c = spark.createDataFrame([chunk(1, path="crates/a/x.rs"), chunk(2, path="mycrates/x.py", repo="q")], CHUNK)
-    assert rows(stats.conventions(c)) == [("q", "python"), ("r", "rust workspace")]
+    c = spark.createDataFrame([chunk(1, path="a/Cargo.toml"), chunk(2, path="x/MyCargo.toml", repo="q"), chunk(3, path="web/jest.config.js", repo="q"), chunk(4, path="x.github/workflows/y", repo="q")], CHUNK)
+    assert rows(stats.conventions(c)) == [("q", "JS test framework"), ("r", "Rust/Cargo project")]
     a = spark.createDataFrame([("r", "x", "1"), ("r", "y", "1"), ("r", "z", "1")], "repo string, file_path string, content_hash string")
     b = spark.createDataFrame([("r", "x", "1"), ("r", "y", "2"), ("r", "w", "1")], "repo string, file_path string, content_hash string")
     assert rows(update.staleness(a, b), "file_path", "change") == [("w", "added"), ("x", "unchanged"), ("y", "modified"), ("z", "deleted")]
@@ -238,7 +238,7 @@ def test_conventions_and_staleness(spark):
 # ---------------------------------------------------------------- chunking, sources, streams
 def test_chunking():
     py = "import a\n\n# note\ndef f():\n    return 1\n\nclass B:\n    def g(self):\n        pass\n"
-    assert [(a, b, k, n) for a, b, k, n, _ in chunking.chunk_text(py, "python", "x.py")] == [(1, 2, "block", None), (3, 5, "function", "f"), (7, 9, "class", "B")]
+    assert [(a, b, k, n) for a, b, k, n, _ in chunking.chunk_text(py, "python", "x.py")] == [(1, 2, "block", None), (3, 5, "function", "f"), (7, 7, "class", "B"), (8, 9, "method", "g")]
     rs = "use a;\n\npub fn f(x: u8) -> u8 {\n    x\n}\n\nimpl B {\n    fn g() {}\n}\n"
     assert [(k, n) for _, _, k, n, _ in chunking.chunk_text(rs, "rust", "x.rs") if n] == [("function", "f"), ("class", "B"), ("method", "g")]
     md = "intro\n# One\ntext\n```\n# no heading\n```\n## Two\nx"
