@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.operators import chunking, filters, graph, search, stats, update
-from sievework.session import ship_package
+from sievework.operators import chunking, filters, graph, retrieval, search, stats, update
+from sievework.session import cut, ship_package
 from sievework.sources import files as source
 from sievework.sources import index as store
 
@@ -17,14 +17,15 @@ from sievework.sources import index as store
 class Engine:
     """Builds, updates and queries the index of one source tree."""
 
-    def __init__(self, spark: SparkSession, index_root: str):
-        self.spark, self.root = spark, index_root
+    def __init__(self, spark: SparkSession, index_root: str, embed=None):
+        """``embed``: a pandas UDF from text to vector; a stand-in that hashes words where none is given."""
+        self.spark, self.root, self.embed = spark, index_root, embed
         ship_package(spark)
 
     # ------------------------------------------------------------ writing
     def _tables(self, files: DataFrame, repo: str) -> dict[str, DataFrame]:
         rows = files.select(F.lit(repo).alias("repo"), F.col("relative_path").alias("file_path"), "language", "content", "content_hash")
-        chunks = chunking.chunk_files(rows)
+        chunks = cut(chunking.chunk_files(rows))
         counted = chunks.groupBy("repo", "file_path").agg(F.count("*").alias("chunk_count"), F.max(F.col("symbol_name").isNotNull()).alias("named"))
         readable = ["python", *chunking.HEADS]
         state = rows.join(counted, ["repo", "file_path"], "left").select(
@@ -41,7 +42,8 @@ class Engine:
 
     def index(self, tree: str, repo: str, **options) -> str:
         """Builds a new version from a tree; readers keep the old one until it is complete."""
-        return store.publish(self._tables(source.discover(self.spark, tree, **options), repo), self.root, {"repo": repo})
+        tables = self._tables(source.discover(self.spark, tree, **options), repo)
+        return store.publish(tables | retrieval.search_tables(tables["chunks"], self.embed), self.root, {"repo": repo})
 
     def staleness(self, tree: str, repo: str, **options) -> DataFrame:
         now = source.discover(self.spark, tree, **options).select(F.lit(repo).alias("repo"), F.col("relative_path").alias("file_path"), "content_hash")
@@ -58,7 +60,9 @@ class Engine:
             touched = changes.where("change != 'unchanged'")
             again = touched.where("change != 'deleted'").select(F.col("file_path").alias("relative_path"))
             fresh = self._tables(found.join(again, "relative_path", "left_semi"), repo)
-            store.publish({n: update.replace_files(old[n], touched, fresh[n]) for n in old}, self.root, {"repo": repo})
+            kept = {n: update.replace_files(old[n], touched, fresh[n]) for n in fresh}
+            found_by = retrieval.updated_search_tables(old, touched, old["chunks"], fresh["chunks"], self.embed)
+            store.publish(kept | found_by, self.root, {"repo": repo})
         changes.unpersist()
         return counts
 
@@ -69,7 +73,9 @@ class Engine:
     def search(self, queries: str | Sequence[str], repo: str, limit: int = 5, where: filters.SearchFilters | None = None) -> DataFrame:
         asked = [queries] if isinstance(queries, str) else list(queries)
         q = self.spark.createDataFrame([(i, repo, x) for i, x in enumerate(asked)], "query_id int, repo string, query string")
-        return search.search(self.tables()["chunks"], q, limit, (where or filters.SearchFilters()).condition()).orderBy("query_id", "rank")
+        tables = self.tables()
+        stored = {n: tables[n] for n in store.SEARCH_TABLES}
+        return search.search(tables["chunks"], q, limit, (where or filters.SearchFilters()).condition(), stored, self.embed).orderBy("query_id", "rank")
 
     def grep(self, pattern: str, context: int = 2, limit: int = 20, case_sensitive: bool = True) -> DataFrame:
         return graph.regex_search(self.tables()["chunks"], pattern, context, case_sensitive).orderBy("repo", "file_path", "line").limit(limit)

@@ -57,29 +57,35 @@ def embedded(chunks: DataFrame, embed=None) -> DataFrame:
     return chunks.select("repo", "id", (embed or hash_embedding())(F.coalesce("content", F.lit(""))).alias("vector"))
 
 
+def search_tables(chunks: DataFrame, embed=None) -> dict[str, DataFrame]:
+    """Postings, lengths and vectors of an index; searches read these and no content."""
+    return {"postings": postings(chunks), "lengths": field_lengths(chunks), "vectors": embedded(chunks, embed)}
+
+
 def write_search_tables(chunks: DataFrame, root: str, embed=None) -> None:
-    """Postings by term hash, lengths and vectors of an index; searches read these and no content."""
-    postings(chunks).repartition("repo", "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/postings")
-    field_lengths(chunks).coalesce(1).write.mode("overwrite").parquet(f"{root}/lengths")
-    embedded(chunks, embed).write.mode("overwrite").parquet(f"{root}/vectors")
+    """The search tables below a folder, postings by repository and term."""
+    found = search_tables(chunks, embed)
+    found["postings"].repartition("repo", "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/postings")
+    found["lengths"].coalesce(1).write.mode("overwrite").parquet(f"{root}/lengths")
+    found["vectors"].write.mode("overwrite").parquet(f"{root}/vectors")
 
 
 def read_search_tables(spark, root: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{root}/{n}") for n in ("postings", "lengths", "vectors")}
 
 
-def update_search_tables(spark, root: str, target: str, touched: DataFrame, old_chunks: DataFrame, fresh: DataFrame, embed=None) -> None:
-    """A new version of the tables: chunks of touched files lose their rows, fresh chunks get theirs; nothing else is analysed or embedded again."""
-    gone = old_chunks.join(touched.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_semi").select("repo", "id").distinct()
-    old = read_search_tables(spark, root)
-    kept = old["postings"].join(gone, ["repo", "id"], "left_anti").unionByName(postings(fresh))
-    kept.repartition("repo", "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{target}/postings")
+def updated_search_tables(old: dict[str, DataFrame], touched: DataFrame, old_chunks: DataFrame, fresh: DataFrame, embed=None) -> dict[str, DataFrame]:
+    """The tables after an update: chunks of touched files lose their rows, fresh chunks get theirs; nothing else is analysed or embedded again."""
+    lost = old_chunks.join(touched.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_semi")
+    gone = lost.select("repo", "id").distinct()
     # sums of lengths change by what came and went
     sums = lambda df, sign: df.select("repo", "field", (sign * F.col("docs")).alias("docs"), (sign * F.col("docs") * F.col("mean")).alias("total"))
-    lost = field_lengths(old_chunks.join(gone, ["repo", "id"], "left_semi"))
-    total = sums(old["lengths"], 1).unionByName(sums(field_lengths(fresh), 1)).unionByName(sums(lost, -1)).groupBy("repo", "field").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"))
-    total.where("docs > 0").select("repo", "field", "docs", (F.col("total") / F.col("docs")).alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{target}/lengths")
-    old["vectors"].join(gone, ["repo", "id"], "left_anti").unionByName(embedded(fresh, embed)).write.mode("overwrite").parquet(f"{target}/vectors")
+    total = sums(old["lengths"], 1).unionByName(sums(field_lengths(fresh), 1)).unionByName(sums(field_lengths(lost), -1)).groupBy("repo", "field").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"))
+    return {
+        "postings": old["postings"].join(gone, ["repo", "id"], "left_anti").unionByName(postings(fresh)),
+        "lengths": total.where("docs > 0").select("repo", "field", "docs", (F.col("total") / F.col("docs")).alias("mean")),
+        "vectors": old["vectors"].join(gone, ["repo", "id"], "left_anti").unionByName(embedded(fresh, embed)),
+    }
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, digits: int | None = None) -> DataFrame:
@@ -248,7 +254,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, k: int, embed=None, stored: di
         lexical_pool(F.col("query"), k).alias("words_pool"), pool_size(kind, k).alias("vector_pool"),
     )
     most_words, most_vectors = max(5 * k, 100, k + 40), max(5 * k, 50)
-    by = stored or {"postings": postings(chunks), "lengths": field_lengths(chunks), "vectors": embedded(chunks, embed)}
+    by = stored or search_tables(chunks, embed)
     words = score_postings(by["postings"], by["lengths"], queries, most_words).join(plan, "query_id").where("rank <= words_pool").select("query_id", "id", "rank", F.col("lexical").alias("weight"))
     asked = queries.select("query_id", "repo", embed(asked_text).alias("vector"))
     near = vector_search(by["vectors"], asked, most_vectors).join(plan, "query_id").where("rank <= vector_pool").select("query_id", "id", "rank", F.col("semantic").alias("weight"))

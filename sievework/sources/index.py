@@ -11,14 +11,19 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-FORMAT = "1"
+FORMAT = "2"
 SCHEMAS = {
     "chunks": "id string, repo string, file_path string, line_start int, line_end int, content string, language string, symbol_type string, symbol_name string, part_index int",
     "references": "repo string, file_path string, line int, callee string, qualifier string, caller string",
     "type_relations": "repo string, file_path string, line int, owner string, target string",
     "file_index_state": "repo string, file_path string, language string, status string, tree_has_error boolean, tier0_fallback boolean, chunk_count long",
     "file_hashes": "repo string, file_path string, content_hash string",
+    "postings": "repo string, id string, field string, term string, tf long, size int",
+    "lengths": "repo string, field string, docs long, mean double",
+    "vectors": "repo string, id string, vector array<float>",
 }
+#: Tables that searches read instead of content.
+SEARCH_TABLES = ("postings", "lengths", "vectors")
 
 
 @contextmanager

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import text as t
-from sievework.operators import chunking, filters, graph, incremental as inc, ranking, retrieval, stats, update
+from sievework.functions import values
+from sievework.operators import candidates, chunking, filters, graph, incremental as inc, ranking, retrieval, stats, update
 from sievework.plans import catalog
 from sievework.sources import files as source
 from sievework.sources import index
@@ -348,3 +349,30 @@ def test_ranking_signals(spark):
     assert named > other and null is not None
     root, deep, code = scores("config", {"file_path": "app.toml", "language": "toml"}, {"file_path": "a/b/app.toml", "language": "toml"}, {})
     assert root > deep > code
+
+
+def test_small_values(spark):
+    one = spark.createDataFrame([("parseConfigs", "route", "routing", "a\nbé\nc", 6, "q", " debug ")], "name string, a string, b string, text string, at int, query string, intent string")
+    got = one.select(
+        values.identifier_stems(F.col("name")).alias("stems"), values.shares_stem(F.col("a"), F.col("b")).alias("stem"), values.shares_stem(F.lit("cat"), F.lit("cat")).alias("short"),
+        values.line_of_byte(F.col("text"), F.col("at")).alias("line"), values.line_of_byte(F.col("text"), F.lit(99)).alias("last"), values.byte_of_line(F.col("text"), F.lit(3)).alias("byte"),
+        retrieval.with_intent(F.col("query"), F.col("intent")).alias("asked"), retrieval.with_intent(F.col("query"), F.lit(" ")).alias("bare"), values.pooled(F.array(F.array(F.lit(3.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(3.0)))).alias("mean"),
+    ).first()
+    assert got.stems == ["parse", "config"] and got.stem and not got.short
+    assert (got.line, got["last"], got.byte) == (3, 3, 6)
+    assert (got.asked, got.bare) == ("intent: debug | q", "q") and [round(x, 6) for x in got["mean"]] == [0.707107, 0.707107]
+    assert (candidates.raw_lexical_pool(10), candidates.raw_lexical_pool(10, True), candidates.raw_vector_pool(10, 12), candidates.rerank_depth(50)) == (20, 1010, 12, 50)
+
+
+def test_ties_of_vector_search(spark):
+    v = spark.createDataFrame([("r", f"c{i:02}", [1.0, 0.0] if i else [0.0, 1.0]) for i in range(40)], "repo string, id string, vector array<float>").repartition(7)
+    q = spark.createDataFrame([(1, "r", [1.0, 0.0])], "query_id int, repo string, vector array<float>")
+    assert [r.id for r in retrieval.vector_search(v, q, 3).orderBy("rank").collect()] == ["c01", "c02", "c03"]
+
+
+def test_meaning_of_a_question(spark):
+    df = spark.createDataFrame([("how do we define header parsing", "src/headers.rs", "rust", "pub fn parse_headers() {}", "parse_headers", "function"), ("how do we define header parsing", "x.rs", "rust", "let a = 1;", None, None)],
+        "query string, file_path string, language string, content string, symbol_name string, symbol_type string")
+    a, b = (r.m for r in df.select(ranking.meaning(F.col("query"), F.lit("natural")).alias("m")).collect())
+    assert a.symbol_word == 0.5 and a.asked_definition == 0.34 and a.overlap > 0 and a.defined_early == 0.3 and a.public > 0
+    assert b.symbol_word == b.overlap == b.defined_early == b.asked_definition == 0.0

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sievework.api import Engine
 from sievework.functions.render import to_json, to_markdown
-from sievework.operators import filters, search
+from sievework.operators import filters, retrieval, search
 
 TREE = {
     "src/config.py": "import os\n\n\ndef parse_config(path):\n    '''Read the settings.'''\n    root = os.environ['APP_ROOT']\n    return load_file(root, path)\n\n\ndef load_file(root, path):\n    return open(root + path).read()\n",
@@ -73,6 +73,27 @@ def test_overview_and_update(engine):
     assert engine.explain_path(str(engine.tree), "dist/out.js") == ("skip", "default exclude")
 
 
+def test_search_tables_follow_an_update(engine):
+    """After an update the stored tables are those that the new chunks give, and a search of them finds what a search of the chunks finds."""
+    t = engine.tables()
+    fresh = retrieval.search_tables(t["chunks"])
+    for name in ("postings", "lengths"):
+        cols = fresh[name].columns
+        key = lambda r, cols=cols: tuple(round(r[c], 9) if isinstance(r[c], float) else r[c] for c in cols)
+        assert sorted(map(key, t[name].collect())) == sorted(map(key, fresh[name].collect()))
+    assert {r.id for r in t["vectors"].collect()} == {r.id for r in t["chunks"].collect()}
+    q = engine.spark.createDataFrame([(0, "r", "fresh config")], "query_id int, repo string, query string")
+    stored = retrieval.score_postings(t["postings"], t["lengths"], q, 5).collect()
+    assert stored and [(r.id, round(r.score, 9)) for r in stored] == [(r.id, round(r.score, 9)) for r in retrieval.bm25(t["chunks"], q, 5).collect()]
+
+
+def test_answers_of_a_model():
+    assert search.query_candidates('["a b", "A B", " c "]', 5) == ["a b", "c"]
+    assert search.query_candidates('{"rewrites": ["x", "y", "z"]}', 2) == ["x", "y"]
+    assert search.query_candidates('Sure:\n```json\n["x"]\n```', 5) == ["x"]
+    assert search.query_candidates("no list", 5) == search.query_candidates("[1, 2]", 5) == []
+
+
 def test_composed_searches(engine):
     chunks = engine.tables()["chunks"]
     fused = search.multi_query(engine.spark, chunks, "r", ["parse config", " Parse  Config ", "listen"], 5).orderBy("rank").collect()
