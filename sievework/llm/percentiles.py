@@ -41,8 +41,9 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, percenti
     g = [f"g{i}" for i in range(len(groups))]
     v = F.col(value).cast("double")
     rows = df.select(*[F.col(c).alias(a) for c, a in zip(groups, g, strict=True)], v.alias("v")).where("v is not null and not isnan(v)")
-    # equal values are interchangeable: a salt, the same in each attempt of a task, lets a range end within them
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    # equal values are interchangeable: a salt lets a range end within them; it is written before rows are
+    # ranged by it, so that a task that runs again after a loss finds the same one
+    rows = cut(rows.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")))
     ordered = cut(rows.repartitionByRange(*[F.col(c) for c in (*g, "v", "salt")]).sortWithinPartitions(*g, "v").drop("salt"))
     # in the written table the id is (partition, row in the partition), each in sort order
     numbered = ordered.withColumn("at", F.monotonically_increasing_id())
