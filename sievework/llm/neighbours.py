@@ -23,11 +23,13 @@ numbers per vector and band, never vectors, and no row per entry. Within a band
 the upper bound of the estimate from two codes of *another* rotation reaches the threshold; the
 survivors are compared exactly. ``bits_for`` lets the bits grow with the number of rows, so that
 buckets keep their size, and ``bands_for`` gives the number of bands for a stated recall at the
-threshold; recall rises steeply above it. A bucket of more than BUCKET entries is not compared all
-with all: its entries are ordered by code and each meets its WINDOW followers, in every band anew.
-Keys that a sample of HOT_FLOATS numbers shows to be as large (families of vectors that hardly
-differ) carry the code of what is left of a vector behind the nearest centroid of the sample, which
-tells members of a family apart; they are spread over several tasks by the first bits of it.
+threshold; recall rises steeply above it. Members of a bucket of more than BUCKET entries (families of
+vectors that hardly differ) are not compared by codes: ``exact_best`` compares all such members
+exactly, so none of their nearest is lost. They are divided in cells around centroids; the radius of a
+cell is that of its farthest member, so the triangle inequality of angles tells which cells cannot
+hold a partner at the threshold, and all others are compared in blocks of bounded size, of which each
+vector keeps its k best. That is quadratic in a family whose members all reach each other's threshold.
+Keys that a sample of HOT_FLOATS numbers shows to be as large are spread over several tasks.
 
 Equal vectors of one database are compared as one: a group of copies is represented by its lowest
 row id, and each copy's neighbours follow from the representative's (the other copies come first,
@@ -62,12 +64,12 @@ EPS = 3.0
 SEED = 20_240_607
 #: Entries of a band that one task holds at most, on average.
 BLOCK_ENTRIES = 2_000_000
-#: Entries up to which a bucket is compared all with all; each entry of larger ones meets so many followers in the order of codes.
+#: Entries up to which a bucket is compared all with all by codes, and most such comparisons that an entry of a larger one may cost (it costs none: ``exact_best`` has them).
 BUCKET, WINDOW = 256, 12
 #: Cells: numbers in the sample that centroids are fitted on, most cells of a database, rows of a cell in one task.
 SAMPLE_FLOATS, MOST_CELLS, CELL_ROWS = 4_000_000, 4_096, 50_000
-#: Numbers in the sample that hot keys and the centroids of families are read from, and most such centroids.
-HOT_FLOATS, FAMILIES = 250_000, 64
+#: Numbers in the sample that hot keys are read from, and rows of a cell of members of large buckets.
+HOT_FLOATS, HOT_CELL = 250_000, 4_096
 #: Share of the nearest neighbours that lie in visited cells, and sample rows it is read from.
 VISITED, TRIALS = 0.97, 512
 
@@ -133,7 +135,7 @@ def by_dim(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 F_STEP = 1 / 255
-#: Scalar of an entry whose code tells members of a large bucket apart and estimates nothing.
+#: Scalar of an entry whose key is known to be that of a large bucket.
 LARGE = 0
 
 
@@ -154,8 +156,8 @@ def band_keys(unit: np.ndarray, bands: int, bits: int) -> Iterator[np.ndarray]:
         number += 1
 
 
-def _packer(bands: int, bits: int, parts: int, hot: dict[int, tuple[np.ndarray, list[np.ndarray]]]):
-    """``hot[db]``: centroids, and per band the keys of large buckets."""
+def _packer(bands: int, bits: int, parts: int, hot: dict[int, list[np.ndarray]]):
+    """``hot[db]``: per band the keys of large buckets."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int, int], list[np.ndarray]] = {}
@@ -171,18 +173,15 @@ def _packer(bands: int, bits: int, parts: int, hot: dict[int, tuple[np.ndarray,
                 db = dbs[wanted]
                 code, f = encode(unit, 0)
                 e = np.empty(len(wanted), entry(code.shape[1]))
-                e["row"] = bodies[wanted]
+                e["row"], e["code"] = bodies[wanted], code
                 for band, key in enumerate(band_keys(unit, bands, bits)):
                     e["key"], e["f"] = key, np.rint(f / F_STEP)
-                    # another band, another order of the code's words and bits
-                    e["code"] = _turned(code, band)
                     part = key % np.uint64(parts)
                     for d in np.unique(db):
-                        large = np.flatnonzero(np.isin(key, hot[int(d)][1][band]) & (db == d)) if int(d) in hot else ()
+                        large = np.flatnonzero(np.isin(key, hot[int(d)][band]) & (db == d)) if int(d) in hot else ()
                         if len(large):
-                            e["code"][large] = turned = _turned(left_code(unit[large], hot[int(d)][0]), band)
                             e["f"][large] = LARGE
-                            part[large] = (key[large] + (turned[:, 0] >> np.uint64(58))) % np.uint64(parts)
+                            part[large] = e["row"][large].view(np.uint64) % np.uint64(parts)
                     order = np.lexsort((part, db))
                     d, p = db[order], part[order]
                     starts = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (p[1:] != p[:-1])))
@@ -206,19 +205,6 @@ def _packer(bands: int, bits: int, parts: int, hot: dict[int, tuple[np.ndarray,
     return pack
 
 
-def _turned(code: np.ndarray, band: int) -> np.ndarray:
-    """The code with its bits turned round, so that the order of codes differs by band; distances stay."""
-    r = np.uint64(band * 11 % WORD)
-    words = np.roll(code, band % code.shape[1], axis=1)
-    return (words >> r) | (words << np.uint64((WORD - int(r)) % WORD)) if r else words
-
-
-def left_code(unit: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """The code of what is left of vectors behind their nearest centroids."""
-    left = unit - c[nearest_cells(unit, c, 1)[:, 0]]
-    return encode(left / np.maximum(np.sqrt((left**2).sum(1, keepdims=True)), 1e-12), 0)[0]
-
-
 def unpack(block: bytes) -> np.ndarray:
     w, words, n = block[0], block[1], int.from_bytes(block[2:6], "little")
     e = np.empty(n, entry(words))
@@ -241,40 +227,41 @@ def estimate_ok(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
     differ = math.acos(cosine) / math.pi
     slack = EPS * math.pi * math.sqrt(differ * (1 - differ) / bits)
     f = a["f"].astype(np.float32) * b["f"] * np.float32(F_STEP**2)
-    return (ip / np.maximum(f, 1e-6) + slack + 0.01 >= math.asin(cosine)) | (a["f"] == LARGE)
+    return ip / np.maximum(f, 1e-6) + slack + 0.01 >= math.asin(cosine)
 
 
 def meeting_pairs(entries: np.ndarray, cosine: float) -> np.ndarray:
-    """Pairs (low, high) that share a key and pass the estimate: all of a bucket, or, in one of more than BUCKET, neighbours in the order of codes."""
-    e = entries[np.lexsort((entries["row"], *entries["code"].T[::-1], entries["key"]))]
+    """Pairs (low, high) that share a key and pass the estimate; members of buckets of more than BUCKET come as pairs with themselves."""
+    e = entries[np.lexsort((entries["row"], entries["key"]))]
     copy = np.zeros(len(e), bool)
     copy[1:] = (e["key"][1:] == e["key"][:-1]) & (e["row"][1:] == e["row"][:-1])  # copies that several tasks have read
     e = e[~copy]
-    key, out, gap = e["key"], [], 1
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(e) else np.arange(0)
-    large = np.repeat(np.diff(np.append(starts, len(e))) > BUCKET, np.diff(np.append(starts, len(e))))
-    left = np.arange(len(e) - 1) if len(e) else np.arange(0)
+    _, bucket, size = np.unique(e["key"], return_inverse=True, return_counts=True)
+    large = (size[bucket] > BUCKET) | (e["f"] == LARGE)
+    members = np.unique(e["row"][large])
+    out, gap = [np.stack([members, members], 1)], 1
+    e = e[~large]
+    key = e["key"]
+    left = np.arange(len(e))
     while len(left):
         left = left[left + gap < len(e)]
         left = left[key[left] == key[left + gap]]  # runs are contiguous: who fails here fails for larger gaps
-        if gap > WINDOW:
-            left = left[~large[left]]
         a, b = e[left], e[left + gap]
         ok = estimate_ok(a, b, cosine)
         if ok.any():
             x, y = a["row"][ok], b["row"][ok]
             out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
         gap += 1
-    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+    return np.concatenate(out)
 
 
-def hot_keys(rows: DataFrame, n: int, bands: int, bits: int) -> dict[int, tuple[np.ndarray, list[np.ndarray]]]:
-    """Per database centroids of a sample, and per band the keys that hold more than BUCKET rows by it."""
+def hot_keys(rows: DataFrame, n: int, bands: int, bits: int) -> dict[int, list[np.ndarray]]:
+    """Per database and band the keys that hold more than BUCKET rows by a sample."""
     dim = rows.select(F.max(F.size("vector"))).first()[0] or 1
     every = max(1, n * dim // HOT_FLOATS)
     sample = rows.where(F.pmod(F.xxhash64("body", F.lit(SEED)), F.lit(every)) == 0).groupBy("body").agg(F.any_value("db").alias("db"), F.any_value("vector").alias("vector")).toArrow()
     column, dbs = sample.column("vector").combine_chunks(), sample.column("db").to_numpy()
-    out: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
+    out: dict[int, list[np.ndarray]] = {}
     for d in np.unique(dbs):
         unit = unit_rows(column, np.flatnonzero(dbs == d))
         large = []
@@ -282,14 +269,108 @@ def hot_keys(rows: DataFrame, n: int, bands: int, bits: int) -> dict[int, tuple[
             values, times = np.unique(key, return_counts=True)
             large.append(values[(times * every > BUCKET) & (times > 1)])
         if any(map(len, large)):
-            out[int(d)] = centroids(unit, FAMILIES), large
+            out[int(d)] = large
     return out
 
 
-def similar_pairs(rows: DataFrame, cosine: float, recall: float = RECALL, bits: int | None = None) -> DataFrame:
-    """low, high, similarity of pairs of different vectors at or above ``cosine``.
+def best_of(q: np.ndarray, x: np.ndarray, k: int, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (in q, in x) of the k best of x for each of q that reach ``cosine``, ties to the lower position; where both are the ``same``, others only."""
+    out, step = [], max(1, 2_000_000 // len(x))
+    for a in range(0, len(q), step):
+        s = (q[a : a + step] @ x.T).round(12)
+        i = np.arange(len(s))
+        if same:
+            s[i, a + i] = -2
+        for _ in range(k):
+            j = s[i].argmax(1)
+            ok = s[i, j] >= cosine - 1e-9
+            i, j = i[ok], j[ok]
+            if not len(i):
+                break
+            out.append(np.stack([a + i, j]))
+            s[i, j] = -2
+    return tuple(np.concatenate(out, 1)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _placed(shared):
+    """Rows with the cell whose centroid is nearest, and the angle to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dbs = batch.column("db").to_numpy()
+            for d in np.unique(dbs):
+                w = np.flatnonzero(dbs == d)
+                unit, c = unit_rows(batch.column("vector"), w), shared.value[int(d)]
+                cell = nearest_cells(unit, c, 1)[:, 0]
+                angle = np.arccos(np.clip((unit * c[cell]).sum(1), -1, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(n).take(pa.array(w)) for n in ("db", "body", "rep", "vector")] + [pa.array(cell.astype(np.int32)), pa.array(angle)], names=["db", "body", "rep", "vector", "cell", "angle"])
+
+    return run
+
+
+def _blocks(shared, cosine: float):
+    """Rows once for each block (lo, hi) of two parts of cells: of their own part and each part that may hold a partner."""
+    reach = math.acos(cosine) + 1e-6
 
-    ``rows`` has db, body, vector and may repeat bodies; it is read twice and should be a cheap scan.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dbs, bodies, cells = (batch.column(n).to_numpy() for n in ("db", "body", "cell"))
+            for d in np.unique(dbs):
+                c, radius, parts = shared.value[int(d)]
+                base = np.cumsum(parts) - parts
+                rows = np.flatnonzero(dbs == d)
+                step = max(1, 20_000 // int(parts.sum()))
+                for w in (rows[a : a + step] for a in range(0, len(rows), step)):
+                    angle = np.arccos(np.clip(unit_rows(batch.column("vector"), w) @ c.T, -1, 1))
+                    i, v = np.nonzero((angle <= radius + reach) | (cells[w, None] == np.arange(len(c))))
+                    at = np.repeat(np.arange(len(i)), parts[v])
+                    other = base[v[at]] + np.arange(len(at)) - np.repeat(np.cumsum(parts[v]) - parts[v], parts[v])
+                    w = w[i[at]]
+                    own = base[cells[w]] + bodies[w] % parts[cells[w]]
+                    arrays = [batch.column(n).take(pa.array(w)) for n in ("db", "body", "rep", "vector")]
+                    arrays += [pa.array(x.astype(np.int32)) for x in (np.minimum(own, other), np.maximum(own, other), own)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["db", "body", "rep", "vector", "lo", "hi", "own"])
+
+    return run
+
+
+def exact_best(rows: DataFrame, k: int, cosine: float) -> DataFrame:
+    """low, high: pairs of which one is among the k most similar of the other, by comparison of all ``rows`` (db, body, rep, vector) that can reach ``cosine``."""
+    spark = rows.sparkSession
+    counts = {r.db: (r.n, r.dim) for r in rows.groupBy("db").agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).collect()}  # one row per database of the manifest
+    every = max(1, sum(n * d for n, d in counts.values()) // SAMPLE_FLOATS)
+    sample = rows.where(F.pmod(F.xxhash64("body", F.lit(SEED)), F.lit(every)) == 0).select("db", "vector").toArrow()
+    column, dbs = sample.column("vector").combine_chunks(), sample.column("db").to_numpy()
+    fitted = {}
+    for d, (n, dim) in counts.items():
+        w = np.flatnonzero(dbs == d)
+        fitted[int(d)] = centroids(unit_rows(column, w), min(MOST_CELLS, -(-n // HOT_CELL))) if len(w) else np.eye(1, dim)
+    placed = cut(rows.select("db", "body", "rep", "vector").mapInArrow(_placed(spark.sparkContext.broadcast(fitted)), "db long, body long, rep long, vector array<float>, cell int, angle double"))
+    found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {d: (c, np.full(len(c), -np.inf), np.ones(len(c), np.int64)) for d, c in fitted.items()}
+    for r in placed.groupBy("db", "cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect():  # at most one row per centroid
+        found[r.db][1][r.cell], found[r.db][2][r.cell] = r.radius, -(-r.n // (2 * HOT_CELL))
+    blocks = placed.mapInArrow(_blocks(spark.sparkContext.broadcast(found), cosine), "db long, body long, rep long, vector array<float>, lo int, hi int, own int")
+
+    def search(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rep")
+        lo, own, body = group.column("lo")[0].as_py(), group.column("own").to_numpy(), group.column("body").to_numpy()
+        unit = unit_rows(group.column("vector").combine_chunks(), np.arange(len(body)))
+        one, two = np.flatnonzero(own == lo), np.flatnonzero(own != lo)
+        pairs = [(one, one)] if group.column("hi")[0].as_py() == lo else [(one, two), (two, one)] if len(one) and len(two) else []
+        low, high = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for q, x in pairs:
+            i, j = best_of(unit[q], unit[x], k, cosine, q is x)
+            a, b = body[q[i]], body[x[j]]
+            low, high = [*low, np.minimum(a, b)], [*high, np.maximum(a, b)]
+        return pa.table({"low": np.concatenate(low), "high": np.concatenate(high)})
+
+    return blocks.groupBy("db", "lo", "hi").applyInArrow(search, "low long, high long")
+
+
+def similar_pairs(rows: DataFrame, live: DataFrame, k: int, cosine: float, recall: float = RECALL, bits: int | None = None) -> DataFrame:
+    """low, high, similarity of pairs of different vectors at or above ``cosine``; of members of large buckets those with the k most similar.
+
+    ``rows`` has db, body, vector and may repeat bodies; it is read several times and should be a cheap scan. ``live`` has rowid and body.
     """
     n = rows.count()
     bits = bits or bits_for(n)
@@ -303,6 +384,11 @@ def similar_pairs(rows: DataFrame, cosine: float, recall: float = RECALL, bits:
         return pa.table({"low": pairs[:, 0], "high": pairs[:, 1]})
 
     met = cut(blocks.groupBy("db", "band", "part").applyInArrow(meet, "low long, high long").distinct())
+    members, met = met.where("low = high").select(F.col("low").alias("body")), met.where("low != high")
+    if not members.isEmpty():
+        reps = live.join(members.hint("merge"), "body", "left_semi").groupBy("body").agg(F.min("rowid").alias("rep"))
+        large = rows.join(members.hint("merge"), "body", "left_semi").groupBy("body").agg(F.max("db").alias("db"), F.max("vector").alias("vector"))
+        met = cut(met.unionByName(exact_best(cut(large.join(reps.hint("merge"), "body")), k, cosine)).distinct())
     needed = cut(met.select(F.col("low").alias("body")).unionByName(met.select(F.col("high").alias("body"))).distinct())
     v = rows.select("body", "vector").join(needed.hint("merge"), "body", "left_semi").groupBy("body").agg(F.max("vector").alias("vector"))
     both = met.hint("merge").join(v.withColumnsRenamed({"body": "low", "vector": "a"}), "low").hint("merge").join(v.withColumnsRenamed({"body": "high", "vector": "b"}), "high")
@@ -323,7 +409,7 @@ def top_similar(vectors: DataFrame, manifest: DataFrame, k: int, cosine: float,
     rows = usable_rows(vectors, manifest).withColumn("body", F.xxhash64("db", "vector"))
     one = rows.groupBy("rowid").agg(F.max("dead").alias("dead"), F.max("body").alias("body"))
     live = cut(one.where("not dead").select("rowid", "body"))
-    pairs = cut(similar_pairs(rows.where("not dead").select("db", "body", "vector"), cosine, recall))
+    pairs = cut(similar_pairs(rows.where("not dead").select("db", "body", "vector"), live, k, cosine, recall))
     near = pairs.unionByName(pairs.select(F.col("high").alias("low"), F.col("low").alias("high"), "similarity"))
     return rows_of(near, live, live, k)
 

@@ -220,6 +220,21 @@ def test_hot_family_is_split(spark, monkeypatch):
     assert len(first) == len(x) and sum(first[i + 1] == 1001 + i for i in range(100)) >= 90
 
 
+def test_families_of_equal_distances_are_whole(spark, monkeypatch):
+    """All members of large buckets get their nearest, in a family whose members are all about equally far from each other, too."""
+    rng = np.random.default_rng(9)
+    families = [c + 0.12 * rng.standard_normal((n, 32)) for c, n in zip(rng.standard_normal((3, 32)), (900, 500, 300), strict=True)]
+    x = np.concatenate([*families, rng.standard_normal((200, 32))]).astype(np.float32).astype(float)
+    monkeypatch.setattr(neighbours, "HOT_CELL", 100, raising=False)
+    monkeypatch.setattr(neighbours, "BLOCK_ENTRIES", 700)
+    got = neighbours.top_similar(spark.createDataFrame(vectors(spark, x), VEC), spark.createDataFrame([(2, "d", 32, 1)], MAN), 5, 0.9)
+    found = {(r.rowid, r.other) for r in got.collect()}
+    s = x @ x.T / np.linalg.norm(x, axis=1) / np.linalg.norm(x, axis=1)[:, None]
+    np.fill_diagonal(s, -2)
+    true = {(i + 1, int(j) + 1) for i in range(len(s)) for j in np.argsort(-s[i], kind="stable")[:5] if s[i, j] >= 0.9}
+    assert found <= true and len(found) >= 0.999 * len(true) > 8000
+
+
 def test_no_vectors(spark):
     man = spark.createDataFrame([(2, "d", 16, 1)], MAN)
     assert neighbours.top_similar(spark.createDataFrame([], VEC), man, 5, 0.9).collect() == []
