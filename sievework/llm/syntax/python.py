@@ -189,6 +189,46 @@ class PythonParser:
             return False
         return next(self.structure(s), None) is None
 
+    def _group_repair(self, bracket: str, items: list[tuple[str, int]]) -> tuple[int, list[int]]:
+        """Cost and places of the rule whose repair of a group costs least."""
+        items = [x for x in items if x[0][0] != "\n"]
+        inner = "".join(c for c, _ in items)
+        end = items[-1][1] if items else 0
+        best: tuple[int, list[int]] | None = None
+        for name, (form, rule) in self.rules[bracket].items():
+            cost, places, i = 0, [], 0
+            for part in self._parts(form, inner):
+                if not self.fit[bracket][name][part]:
+                    c, edits = rule.repair(part)
+                    cost += c
+                    places += [items[i + e][1] if i + e < len(items) else end for e in edits]
+                i += len(part) + 1
+            if best is None or cost < best[0]:
+                best = cost, places
+        return best
+
+    def _simples_repair(self, s: str) -> tuple[int, list[int]]:
+        """Cost and offsets of the edits of statements on one line."""
+        parts = s.split(";")
+        if len(parts) > 1 and not parts[-1]:
+            parts.pop()
+        cost, edits, i = 0, [], 0
+        for part in parts:
+            c, e = self.simple.repair(part)
+            cost += c
+            edits += [i + x for x in e]
+            i += len(part) + 1
+        return cost, edits
+
+    def _line_repair(self, s: str) -> tuple[int, list[int]]:
+        """The same of a line: statements, a decorator, or a head with statements behind it or none."""
+        found = [self._simples_repair(s), self.head.repair(s), self.decorator.repair(s)]
+        for i, c in enumerate(s[:-1]):
+            if c == ":":
+                head, rest = self.head.repair(s[: i + 1]), self._simples_repair(s[i + 1 :])
+                found.append((head[0] + rest[0], head[1] + [i + 1 + x for x in rest[1]]))
+        return min(found, key=lambda x: x[0])
+
     def repair(self, text: str) -> Repair:
         at, chars = [], []
         for m in TOKENS.finditer("\n" + text):
@@ -196,23 +236,20 @@ class PythonParser:
             if c:
                 chars.append(c)
                 at.append(max(0, m.start() - 1))
-        cost, places = 0, []
+        places: list[int] = []
         frames: list[list[tuple[str, int]]] = [[]]
         stack: list[tuple[str, int, int]] = []
+        cost = 0
         partner, _ = pairing("".join(c[0] for c in chars))
 
-        def close() -> int:
-            """Close the innermost group; where it opened in the text."""
-            nonlocal cost
-            b, q, k = stack.pop()
-            items = frames.pop()
+        def closed(b: str, items: list[tuple[str, int]], place: int, places: list[int]) -> tuple[tuple[str, int], int]:
+            """The cell of a group, and the cost of its repair."""
             cell = self.cells[b + "".join(x for x, _ in items) + CLOSE[b]]
+            cost = 0
             if cell in FLAW.values():
-                inner = LINE.sub("", "".join(x for x, _ in items))
-                cost += min(sum(0 if self.fit[b][n][x] else rule.repair(x)[0] for x in self._parts(form, inner)) for n, (form, rule) in self.rules[b].items()) or 1
-                places.append(q)
-            frames[-1].append((cell, q))
-            return k
+                cost, edits = self._group_repair(b, items)
+                places += edits or [place]
+            return (cell, place), cost
 
         for i, (c, p) in enumerate(zip(chars, at, strict=True)):
             if c == BROKEN:
@@ -227,35 +264,57 @@ class PythonParser:
                     places.append(p)
                     continue
                 while True:
-                    if stack[-1][2] != partner[i] or CLOSE[stack[-1][0]] != c:  # one that nothing closes, or that another bracket does
+                    b, q, k = stack.pop()
+                    if k != partner[i] or CLOSE[b] != c:  # one that nothing closes, or that another bracket does
                         cost += 1
                         places.append(p)
-                    if close() == partner[i]:
+                    cell, more = closed(b, frames.pop(), q, places)
+                    cost += more
+                    frames[-1].append(cell)
+                    if k == partner[i]:
                         break
             else:
                 frames[-1].append((c, p))
-        unclosed = len(stack)
-        cost += unclosed
-        places += [len(text)] * unclosed
-        while stack:
-            b, q, _ = stack.pop()
-            frames.pop()
-            frames[-1].append((FLAW[b], q))
-        flat = frames[0]
-        lines: list[tuple[str, int]] = []
+
+        # what is still open is closed at the end, or the brackets are no part of the program
+        ends: list[tuple[int, list[int], int]] = []
+        flat, total, edits = [*frames[-1]], cost, [*places]
+        for (b, q, _), outer in zip(reversed(stack), reversed(frames[:-1]), strict=True):
+            cell, more = closed(b, flat, q, edits)
+            flat, total = [*outer, cell], total + 1 + more
+            edits.append(len(text))
+        ends.append((total + self._lines_repair(flat, edits, len(text)), edits, len(stack)))
+        if stack:
+            edits = [*places, *[q for _, q, _ in stack]]
+            flat = [x for frame in frames for x in frame]
+            ends.append((cost + len(stack) + self._lines_repair(flat, edits, len(text)), edits, 0))
+        cost, places, unclosed = min(ends, key=lambda x: x[0])
+        return Repair(max(1, cost), Parser.reason(text, places, unclosed), sorted(places))
+
+    def _lines_repair(self, flat: list[tuple[str, int]], places: list[int], end: int) -> int:
+        """Cost of the repair of lines and blocks; adds its places."""
+        lines: list[tuple[str, list[int]]] = []
         for c, p in flat:
             if c[0] == "\n":
-                lines.append((c[1], p))
+                lines.append((c[1], []))
             elif lines:
-                lines[-1] = (lines[-1][0] + c, lines[-1][1])
-        lines = [x for x in lines if len(x[0]) > 1]
+                body, where = lines[-1]
+                lines[-1] = body + c, where
+                where.append(p)
+        lines = [x for x in lines if x[1]]
+        cost, before = 0, -1
         for n in self.structure("".join("\n" + x for x, _ in lines)):
-            if n < len(lines):
-                body = lines[n][0][1:]
-                kind, word = self.lines[body]
-                cost += 1 if kind else min(self.head.repair(body)[0] if word else 99, self.simple.repair(body)[0])
-                places.append(lines[n][1])
-            else:
+            if n == len(lines):
                 cost += 1
-                places.append(len(text))
-        return Repair(max(1, cost), Parser.reason(text, places, unclosed), sorted(places))
+                places.append(end)
+                continue
+            body, where = lines[n][0][1:], lines[n][1]
+            if self.lines[body][0] or n == before:  # its place among the lines is wrong
+                cost += 1
+                places.append(where[0])
+            else:
+                c, edits = self._line_repair(body)
+                cost += c
+                places += [where[min(e, len(where) - 1)] for e in edits]
+            before = n
+        return cost

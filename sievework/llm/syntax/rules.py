@@ -22,8 +22,6 @@ BASE = {"(": 0xE000, "[": 0xE400, "{": 0xE800}
 FLAW = {"(": "\uf000", "[": "\uf001", "{": "\uf002"}
 CLOSE = {"(": ")", "[": "]", "{": "}"}
 MAX_RULES = 10
-#: Edits of one statement or group that are searched for; costlier ones count one more.
-LIMIT = 6
 #: Entries a memory of a rule holds at most.
 MEMORY = 50_000
 
@@ -215,7 +213,8 @@ class Chart:
 
     The places of a rule are its occurrences of token sets, one bit each. A chart entry (i, k) holds
     the places at which i tokens can have been read with k edits; entries are sets held as numbers,
-    so one step costs a few operations on words. Where a place can follow which is memorised by set.
+    so one step costs a few operations on words. Entries of one i grow with k and are kept only where
+    they do, so there is no limit to k. Where a place can follow which is memorised by set.
     """
 
     def __init__(self, tree):
@@ -268,33 +267,45 @@ class Chart:
             self._after[places] = out
         return out
 
-    def repair(self, text: str, limit: int = LIMIT) -> tuple[int, list[int]]:
-        """(cost, places of the edits); a text that needs more than ``limit`` edits counts limit + 1."""
+    def repair(self, text: str) -> tuple[int, list[int]]:
+        """(cost, places of the edits). With a number of edits places only become more, so a row holds the numbers at which they do: [(edits, places)]."""
         start = 1 << len(self.sets)  # the place before everything
         step = lambda s: self.after(s & (start - 1)) | (self.first if s & start else 0)
-        rows = [start] + [0] * limit
-        for k in range(1, limit + 1):
-            rows[k] = rows[k - 1] | step(rows[k - 1])
-        far = [0] * (limit + 1)
+        rows = self._closed([(0, start)], step)
+        reached = [0] * (len(text) + 1)  # least edits with which so many tokens are read
         for i, c in enumerate(text):
             m = self.mask.get(c, 0)
-            nexts = [step(r) for r in rows]
-            new = [nexts[0] & m]
-            for k in range(1, limit + 1):
-                new.append(nexts[k] & m | nexts[k - 1] | rows[k - 1])
-            for k in range(1, limit + 1):
-                new[k] |= new[k - 1] | step(new[k - 1])
-            rows = new
-            for k, r in enumerate(rows):
-                if r:
-                    far[k] = i + 1
-            if not rows[limit]:
-                break
+            read = [(k, n & m) for k, _, n in rows]
+            rows = self._closed(sorted(read + [(k + 1, r | n) for k, r, n in rows]), step)
+            reached[i + 1] = rows[0][0]
         ends = self.last | (start if self.empty else 0)
-        for k, r in enumerate(rows):
-            if r & ends:
-                return k, far[:k]
-        return limit + 1, far
+        cost = next(k for k, r, _ in rows if r & ends)
+        far, i = [], 0
+        for k in range(cost):
+            while i < len(text) and reached[i + 1] <= k:
+                i += 1
+            far.append(i)
+        return cost, far
+
+    @staticmethod
+    def _closed(found: list[tuple[int, int]], step) -> list[tuple[int, int, int]]:
+        """A row from places that are found with a number of edits, in ascending order, with those that insertions lead to, and the places that follow."""
+        rows: list[tuple[int, int, int]] = []
+        have = follow = at = k = 0
+        while True:
+            new = have | follow
+            if new == have:  # no insertion adds a place: on to the next number at which one is found
+                if at == len(found):
+                    return rows
+                k = max(k, found[at][0])
+            while at < len(found) and found[at][0] <= k:
+                new |= found[at][1]
+                at += 1
+            if new != have:
+                follow |= step(new & ~have)
+                have = new
+                rows.append((k, have, follow))
+            k += 1
 
 
 def _or(values) -> int:

@@ -1,6 +1,7 @@
 """Operators for training data against brute force, and on null, empty, long, tied and repeated input."""
 
 import datetime as dt
+import heapq
 import math
 import random
 
@@ -444,6 +445,68 @@ def test_least_cost_matches_brute_force():
         assert rule.repair(text)[0] == brute(text), text
 
 
+def test_least_cost_has_no_limit():
+    """Costs of long texts that are something else, against shortest ways over (tokens read, place)."""
+    g = Grammar("t")
+    g.declare("if", "", {"(": "x", "[": "x", "{": "x"})
+    g.macros = {"E": "a ( '+' a )*"}
+    rule = g.rule("if E ';' | E ( ';' E )*")
+    chart = rule.chart
+    follow = [{q for q in range(len(chart.sets)) if f >> q & 1} for f in [*chart.follow, chart.first]]
+
+    def shortest(text):
+        heap, seen = [(0, 0, len(chart.sets))], set()
+        while True:
+            cost, i, p = heapq.heappop(heap)
+            if (i, p) in seen:
+                continue
+            seen.add((i, p))
+            if i == len(text) and p < len(chart.sets) and chart.last >> p & 1:
+                return cost
+            if i < len(text):
+                heapq.heappush(heap, (cost + 1, i + 1, p))
+            for q in follow[p]:
+                heapq.heappush(heap, (cost + 1, i, q))
+                if i < len(text):
+                    heapq.heappush(heap, (cost + (text[i] not in chart.sets[q]), i + 1, q))
+
+    rng = random.Random(3)
+    costs = []
+    for _ in range(40):
+        text = "".join(rng.choice(["a", "+", ";", "?", g.keywords["if"]]) for _ in range(rng.randint(0, 60)))
+        cost, places = rule.repair(text)
+        assert cost == shortest(text) == len(places), text
+        costs.append(cost)
+    assert max(costs) > 20
+
+
+def test_many_brackets_pair_at_least_cost():
+    def least(text):
+        n = len(text)
+        best = [[0] * (n + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(i + 1, n + 1):
+                ways = [best[i + 1][j] + 1]
+                if text[i] in "([":
+                    ways += [best[i + 1][k] + best[k + 1][j] + (text[i] + text[k] not in ("()", "[]")) for k in range(i + 1, j) if text[k] in ")]"]
+                best[i][j] = min(ways)
+        return best[0][n]
+
+    assert pairing("(]" * 100) == ({2 * i + 1: 2 * i for i in range(100)}, 100)
+    rng = random.Random(4)
+    text = "".join(rng.choice("()[]") for _ in range(260))
+    assert pairing(text)[1] == least(text)
+    assert pairing(")" * 300 + "(" * 300) == ({}, 600)
+
+
+def test_python_is_repaired_inside_what_stays_open():
+    assert syntax.judge_text("py", "x = f(a b c")[0] == 2
+    assert syntax.judge_text("py", "x = (1\ny = 2\nz = 3\n")[0] == 1
+    assert syntax.judge_text("py", "x y = 1; y z = 2\n")[0] == 2
+    page = "<!doctype html>\n<html><head><title>Moved</title></head>\n<body><h1>Moved</h1><p>As before, only 348 files had a frozen wave.</p></body></html>\n"
+    assert syntax.judge_text("py", page)[1] == "mismatch"
+
+
 def test_brackets_pair_at_least_cost():
     rng = random.Random(2)
     def brute(text):
