@@ -29,16 +29,25 @@ _INDEXES: dict[tuple[str, str], str] = {}
 
 
 def _stored(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    """The index over the chunks of a folder: each chunk once, postings, lengths and vectors; written once per application and read by every search."""
+    """The index over the chunks of a folder: each chunk once, postings, lengths and vectors; written once per application and read by every search.
+
+    Chunks are numbered (``no``) in the order of their ids; the search tables have the numbers as ids.
+    """
     key = (s.sparkContext.applicationId, d)
     if key not in _INDEXES:
         root = work_path(s, "index")
-        _chunks(s, d).write.parquet(f"{root}/chunks")
-        retrieval.write_search_tables(s.read.parquet(f"{root}/chunks"), root)
+        ranges = stats.once(_delivered(s, d).repartitionByRange("id")).sortWithinPartitions("id")
+        ranges.withColumn("no", F.monotonically_increasing_id()).write.parquet(f"{root}/chunks")
+        retrieval.write_search_tables(s.read.parquet(f"{root}/chunks").drop("id").withColumnRenamed("no", "id"), root)
         _INDEXES[key] = root
     return {"chunks": s.read.parquet(f"{_INDEXES[key]}/chunks"), **retrieval.read_search_tables(s, _INDEXES[key])}
 
 
+def _named(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits of the index with the ids of their chunks for the numbers."""
+    return hits.withColumnRenamed("id", "no").join(chunks.select("no", "id"), "no").select("query_id", "id", "score", "rank")
+
+
 ONCE = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY id) AS dup FROM chunks WHERE id IS NOT NULL) WHERE dup = 1)"
 Q, SQL = {}, {}
 
@@ -434,22 +443,23 @@ BM25_SQL = f"""WITH c AS (SELECT c.*, p.tokens FROM {ONCE} c JOIN ({_TOKENS_SQL}
 @query(f"SELECT * FROM ({BM25_SQL}) WHERE rank <= 10")
 def search_lexical(s, d):
     stored = _stored(s, d)
-    return retrieval.score_postings(stored["postings"], stored["lengths"], _requests(s, d), 10, digits=4)
+    return _named(retrieval.score_postings(stored["postings"], stored["lengths"], _requests(s, d), 10, digits=4), stored["chunks"])
 
 
 @query()
 def search_hybrid(s, d):
     """Lexical and vector search of all requests, fused by reciprocal rank."""
-    return retrieval.hybrid(_stored(s, d)["chunks"], _requests(s, d), 10, stored=_stored(s, d))
+    stored = _stored(s, d)
+    return _named(retrieval.hybrid(stored["chunks"], _requests(s, d), 10, stored=stored), stored["chunks"])
 
 
 @query()
 def search_ranked(s, d):
     """Hybrid search, ranked anew by paths, symbols and classes, spread over files."""
     stored, q = _stored(s, d), _requests(s, d)
-    width = q.select("query_id", candidates.fetch_limit(F.col("query"), 10).alias("width"))
-    fused = retrieval.hybrid(stored["chunks"], q, 150, stored=stored).drop("score").join(width, "query_id").where("rank <= width").drop("width")
-    pool = fused.join(stored["chunks"], "id").join(q.select("query_id", "query"), "query_id")
+    fused = retrieval.hybrid(stored["chunks"], q, 150, stored=stored, width=candidates.fetch_limit(F.col("query"), 10)).select("query_id", F.col("id").alias("no"), "rank")
+    # texts of queries come first: they are short, and texts of chunks need no shuffle by query
+    pool = fused.join(q.select("query_id", "query"), "query_id").join(stored["chunks"], "no")
     return ranking.rank(pool).where("rank <= 10").select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
